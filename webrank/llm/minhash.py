@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ EMPTY = np.uint32(0xFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Elements whose ranks are drawn at a time.
 CHUNK = 400_000
+#: Members of a bucket whose pairs are made as rows; members compared at a time in larger buckets.
+SMALL, BLOCK = 32, 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +62,7 @@ def _fill(sig: np.ndarray, element: np.ndarray, owner: np.ndarray, m: int) -> No
     for j in range(m):
         if not len(element):
             return
-        x = mix(element + np.uint64(j + 1) * GOLDEN)
+        x = mix(element + np.uint64((j + 1) * int(GOLDEN) & (1 << 64) - 1))
         k = j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)
         if j == 0:
             place = k
@@ -154,14 +157,75 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long")
 
 
+def sets_of(some: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """node, elements of some(node): their shingle sets, made anew from the texts of those nodes alone."""
+    needed = materialize(some.join(nodes.select("node", "doc_id", "digest"), "node"), "dup-needed")
+    texts = docs.select("doc_id", "text").join(small(needed.select("doc_id").distinct(), 2_000_000), "doc_id", "left_semi")
+    sets = whole_sets(texts, n).join(small(needed, 500_000), ["doc_id", "digest"]).select("node", "elements").dropDuplicates(["node"])
+    return materialize(sets, "dup-sets")
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
+    """Which sets of a and b have 100 * intersection >= least * union: a matrix product over the elements of both sides."""
+    every, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    sizes = np.array([len(x) for x in (*a, *b)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = row < len(a)
+    common = np.zeros(len(every), bool)
+    common[place[left]] = True
+    common &= np.bincount(place[~left], minlength=len(every)) > 0
+    both = np.zeros((len(a), len(b)), np.float32)
+    number = np.cumsum(common) - 1
+    row, column = row[common[place]], number[place[common[place]]]
+    for at in range(0, int(common.sum()), 4096):
+        part = (column >= at) & (column < at + 4096)
+        dense = np.zeros((len(sizes), 4096), np.float32)
+        dense[row[part], column[part] - at] = 1
+        both += dense[: len(a)] @ dense[len(a) :].T
+    union = sizes[: len(a), None] + sizes[None, len(a) :] - both
+    return 100 * both >= least * union
+
+
+def links_of_hot(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links between components inside buckets of more than SMALL members, enough to join all that are linked.
+
+    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is one group, compared
+    exactly on whole sets.  Only links that join two components come out, fewer than members.
+    """
+
+    def compare(rows):
+        i, j = rows.i.iloc[0], rows.j.iloc[0]
+        a = rows[rows.block == i].reset_index(drop=True)
+        b = rows[rows.block == j].reset_index(drop=True)
+        if not len(a) or not len(b):
+            return rows[["node", "label"]].iloc[:0].set_axis(["a", "b"], axis=1)
+        la, lb = a.label.to_numpy(), b.label.to_numpy()
+        found = linked(list(a.elements), list(b.elements), least) & (la[:, None] != lb[None, :])
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in np.argwhere(found):
+            u, v = top(int(la[x])), top(int(lb[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((int(a.node[x]), int(b.node[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = member.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+    return rows.join(sets, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     """The pairs whose whole sets have 100 * intersection >= least * union.  Sets are made anew for the pairs' nodes alone."""
     pairs = materialize(plausible(pairs, nodes, least), "dup-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "digest"), "node")
-    needed = materialize(needed, "dup-needed")
-    some = docs.select("doc_id", "text").join(small(needed.select("doc_id").distinct(), 2_000_000), "doc_id", "left_semi")
-    sets = whole_sets(some, n).join(small(needed, 500_000), ["doc_id", "digest"]).select("node", "elements").dropDuplicates(["node"])
-    sets = materialize(sets, "dup-sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, n)
     rows = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "ea"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "eb"}), "b")
     rows = rows.select("a", "b", (F.size("ea") + F.size("eb")).alias("total"), F.size(F.array_intersect("ea", "eb")).alias("both"))
     return materialize(rows.filter(100 * F.col("both") >= least * (F.col("total") - F.col("both"))).select("a", "b"), "dup-links")
@@ -191,10 +255,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, least: float = 85) -> DataFrame
     """doc_id, n_shingles, component_id, kept: a row per row of docs.
 
     Documents of equal sets are represented by the smallest doc_id.  Representatives that share a
-    band are candidates: first each with its bucket's first member; then, in buckets where members
-    are still in different components, all pairs across components.  Pairs within a component are
-    never made, so a large group of copies costs rows in proportion to its size, and every link
-    between components is still verified on whole sets.  A pair of similarity 0.85 shares none of the
+    band are candidates: first each with its bucket's first member; then, in buckets whose members
+    are still in different components, all pairs across components: as rows in small buckets, in
+    blocks of a matrix product in large ones, which send no pairs but links.  So a large group of
+    copies costs rows in proportion to its size, and every link between components is still found on
+    whole sets.  A pair of similarity 0.85 shares none of the
     32 bands with a probability below 1e-10.
 
     Nulls: a null or empty text has no shingles, links to nothing and is kept; a null doc_id gets a
@@ -205,11 +270,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, least: float = 85) -> DataFrame
     live = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = live.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "dup-reps")
-    nodes = live.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).withColumn("_n", F.lit(1))
+    nodes = live.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"])
     # A doc_id of several different texts: all but one of its nodes get numbers below zero.
-    several = materialize(reps.groupBy("rep").agg(F.count("*").alias("n"), F.min("digest").alias("first")).filter("n > 1"), "dup-several")
+    several = live.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last")
+    several = materialize(several.select("doc_id", "first"), "dup-several")
     own = F.when(F.col("first").isNull() | (F.col("first") == F.col("digest")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest").bitwiseOR(F.lit(-(1 << 63))))
-    nodes = nodes.join(small(several.select(F.col("rep").alias("doc_id"), "first"), 500_000), "doc_id", "left")
+    nodes = nodes.join(small(several, 500_000), "doc_id", "left")
     nodes = materialize(nodes.select(own.alias("node"), "doc_id", "digest", "n_shingles", "sig", "bands").dropDuplicates(["node"]), "dup-nodes")
 
     bands = nodes.select("node", F.explode("bands").alias("key"))
@@ -220,7 +286,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, least: float = 85) -> DataFrame
 
     ids = nodes.select("node", "doc_id")
     by_id = lambda links: links.join(ids.toDF("a", "da"), "a").join(ids.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    shared = live.join(small(several.select(F.col("rep").alias("doc_id")), 500_000), "doc_id", "left_semi").join(reps, "digest")
+    shared = live.join(small(several.select("doc_id"), 500_000), "doc_id", "left_semi").join(reps, "digest")
     edges = by_id(links).union(shared.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).filter("a <> b")
     labels = components(edges)
 
@@ -229,15 +295,22 @@ def near_duplicates(docs: DataFrame, n: int = 3, least: float = 85) -> DataFrame
     open_ = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     open_ = materialize(open_, "dup-open-keys")
     member = materialize(member.join(open_, "key").join(nodes.select("node", "n_shingles"), "node").filter("node <> hub"), "dup-open")
-    left, right = member.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), member.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
+    few = member.filter(F.col("n") <= SMALL)
+    left, right = few.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
     sizes = (100 * F.col("na") >= least * F.col("nb")) & (100 * F.col("nb") >= least * F.col("na"))
     across = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes).select("a", "b").distinct()
-    if open_.limit(1).count():
-        more = verified(across, nodes, docs, n, least)
-        labels = components(by_id(more).union(labels.filter("v <> label").select("v", "label")))
+    hot = member.filter(F.col("n") > SMALL)
+    more = []
+    if few.limit(1).count():
+        more.append(verified(across, nodes, docs, n, least))
+    if hot.limit(1).count():
+        more.append(materialize(links_of_hot(hot, sets_of(hot.select("node").distinct(), nodes, docs, n), least), "dup-hot-links"))
+    for found in more:
+        edges = edges.unionByName(by_id(found))
+    if more:
+        labels = components(edges)
 
     out = rows.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").join(labels.withColumnsRenamed({"v": "rep"}), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    # A document whose own id repeats with another text is labelled by its id.
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
