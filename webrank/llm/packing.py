@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,30 +15,82 @@ from webrank.llm.common import materialize
 
 CAPACITY = 4096
 END = 1
-#: Bound on the words that a Python worker remembers.
-REMEMBERED = 300_000
+#: Bounds on the words, and on their plain forms, that a Python worker remembers.
+REMEMBERED, PLAIN = 400_000, 300_000
+#: Letters that neither normalisation nor the pre-tokeniser splits, then marks that stay together.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 class Encoder(dict):
     """Token ids of words, as little-endian 32-bit bytes.
 
     The vocabulary's normaliser and pre-tokeniser never join characters across white space, so the
-    ids of a text are those of its words in turn.  The first REMEMBERED words are kept.
+    ids of a text are those of its words in turn.  Words of a batch that are new are encoded
+    together: a plain word's ids end with the only one that closes a word, so many plain words can
+    go through the tokenizer as one text.  A worker keeps a bounded number of words.
     """
 
+    @classmethod
+    @functools.cache
+    def of(cls, path: str) -> Encoder:
+        return cls(path)
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < REMEMBERED:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        self.closing = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        self.plain: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+        new = set()
+        for words in split:
+            new.update(words)
+        new = [w for w in new if w not in self]
+        simple = [m for w in new if (m := SIMPLE.fullmatch(w))]
+        plain = list({x for m in simple if (x := m[1].lower()) not in self.plain})
+        word: list[int] = []
+        at = iter(plain)
+        for i in self.ids(" ".join(plain)):
+            word.append(i)
+            if i in self.closing:
+                self.plain[next(at)] = as_bytes(word)
+                word = []
+        marks: dict[str, bytes] = {"": b""}
+        for m in simple:
+            if m[2] not in marks:
+                marks[m[2]] = as_bytes(self.ids(m[2]))
+            self[m[0]] = self.plain[m[1].lower()] + marks[m[2]]
+        for w in new:
+            if w not in self:
+                self[w] = as_bytes(self.ids(w))
+        yield from (b"".join(map(self.__getitem__, words)) for words in split)
+        if len(self) > REMEMBERED:
+            for w in new:
+                del self[w]
+        if len(self.plain) > PLAIN:
+            for w in plain:
+                del self.plain[w]
+
+
+def groups(texts: pd.Series, size: int = 1 << 22) -> Iterator[slice]:
+    """Slices of texts of about `size` characters."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held > size:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    yield slice(start, len(texts))
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -48,19 +102,16 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(path), np.array([END], dtype="<u4").tobytes()
+        encoder, end = Encoder.of(path), as_bytes([END])
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, row, text in zip(batch.doc_id, batch.row, batch.text):
-                ids = encoder.encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, row, piece, at // 4, len(part) // 4, part))
-                held += len(ids)
-                if held > 1 << 22:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=columns)
+            for part in groups(batch.text):
+                rows = []
+                for doc_id, row, ids in zip(batch.doc_id[part], batch.row[part], encoder.encode(list(batch.text[part]))):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut_ = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, row, piece, at // 4, len(cut_) // 4, cut_))
+                yield pd.DataFrame(rows, columns=columns)
 
     columns = ["doc_id", "row", "piece", "start", "length", "ids"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
