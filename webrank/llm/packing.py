@@ -16,7 +16,7 @@ from webrank.llm.common import materialize
 CAPACITY = 4096
 END = 1
 #: Bounds on the words, and on their plain forms, that a Python worker remembers.
-REMEMBERED, PLAIN = 400_000, 300_000
+REMEMBERED, PLAIN = 800_000, 500_000
 #: Letters that neither normalisation nor the pre-tokeniser splits, then marks that stay together.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -43,11 +43,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.closing = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.plain: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
@@ -58,21 +60,17 @@ class Encoder(dict):
         new = [w for w in new if w not in self]
         simple = [m for w in new if (m := SIMPLE.fullmatch(w))]
         plain = list({x for m in simple if (x := m[1].lower()) not in self.plain})
-        word: list[int] = []
-        at = iter(plain)
-        for i in self.ids(" ".join(plain)):
-            word.append(i)
-            if i in self.closing:
-                self.plain[next(at)] = as_bytes(word)
-                word = []
+        ids = np.array(self.ids([" ".join(plain)])[0], dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        self.plain.update((w, data[a:b]) for w, a, b in zip(plain, [0, *ends], ends, strict=False))
         marks: dict[str, bytes] = {"": b""}
         for m in simple:
             if m[2] not in marks:
-                marks[m[2]] = as_bytes(self.ids(m[2]))
+                marks[m[2]] = as_bytes(self.ids([m[2]])[0])
             self[m[0]] = self.plain[m[1].lower()] + marks[m[2]]
-        for w in new:
-            if w not in self:
-                self[w] = as_bytes(self.ids(w))
+        other = [w for w in new if w not in self]
+        self.update(zip(other, map(as_bytes, self.ids(other)), strict=True))
         yield from (b"".join(map(self.__getitem__, words)) for words in split)
         if len(self) > REMEMBERED:
             for w in new:
