@@ -14,6 +14,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: What one operator keeps in this Python worker between its tasks, by the operator's name.
+_kept: dict[str, object] = {}
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
 
@@ -70,6 +73,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def worker_memory(owner: str, make: Callable[[], object] | None = None) -> object:
+    """What `owner` keeps in this Python worker, made at its first task here; others' goes first.
+
+    Workers outlive queries, so without this one operator would hold its memory while the next works.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make() if make else None
+    return _kept[owner]
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space."""
     return F.array_remove(F.split(text, SPACE + "+"), "")

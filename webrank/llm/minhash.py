@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import lower_az, materialize, small, words
+from webrank.llm.common import lower_az, materialize, small, words, worker_memory
 
 REGISTERS, ROWS = 128, 4
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, digest (of the whole set), sig, bands: a row per row of docs."""
 
     def work(batches):
+        worker_memory("minhash")
         for batch in batches:
             sets = [shingles(h, n) for h in each_list(batch.column("h"))]
             sig = superminhash(sets)
@@ -127,6 +128,7 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, digest, elements: the whole shingle sets."""
 
     def work(batches):
+        worker_memory("minhash")
         for batch in batches:
             sets = [shingles(h, n) for h in each_list(batch.column("h"))]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -149,6 +151,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     enough = int(REGISTERS * (least / 100 - 6 * (least / 100 * (1 - least / 100) / REGISTERS) ** 0.5))
 
     def work(batches):
+        worker_memory("minhash")
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, REGISTERS) for c in ("sa", "sb"))
             good = pa.array((left == right).sum(axis=1) >= enough)

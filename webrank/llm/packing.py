@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import materialize
+from webrank.llm.common import materialize, worker_memory
 
 CAPACITY = 4096
 END = 1
@@ -35,9 +34,8 @@ class Encoder(dict):
     """
 
     @classmethod
-    @functools.cache
     def of(cls, path: str) -> Encoder:
-        return cls(path)
+        return worker_memory(f"packing {path}", lambda: cls(path))
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
