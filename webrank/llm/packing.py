@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,15 +80,16 @@ class Encoder(dict):
                 del self.plain[w]
 
 
-def groups(texts: pd.Series, size: int = 1 << 22) -> Iterator[slice]:
-    """Slices of texts of about `size` characters."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held > size:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    yield slice(start, len(texts))
+def groups(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts of about `most` characters, whose words are held together."""
+    start = held = end = 0
+    for end, size in enumerate(sizes, 1):
+        held += size
+        if held > most:
+            yield start, end
+            start, held = end, 0
+    if start < end:
+        yield start, end
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -97,21 +100,27 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     within a run.  A null text is empty and gives a piece of one id.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(path), as_bytes([END])
         for batch in batches:
-            for part in groups(batch.text):
-                rows = []
-                for doc_id, row, ids in zip(batch.doc_id[part], batch.row[part], encoder.encode(list(batch.text[part]))):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut_ = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, row, piece, at // 4, len(cut_) // 4, cut_))
-                yield pd.DataFrame(rows, columns=columns)
+            for start, to in groups(pc.utf8_length(batch.column("text")).to_pylist()):
+                part = batch.slice(start, to - start)
+                texts = encoder.encode(part.column("text").to_pylist())
+                owner, pieces, ids = [], [], []
+                for i, text in enumerate(texts):
+                    text += end
+                    cuts = range(0, len(text), 4 * capacity)
+                    owner += [i] * len(cuts)
+                    pieces += range(len(cuts))
+                    ids += [text[at : at + 4 * capacity] for at in cuts]
+                piece = np.array(pieces, np.int32)
+                length = np.array([len(x) // 4 for x in ids], np.int64)
+                own = part.select(["doc_id", "row"]).take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length), pa.array(ids, pa.binary())], names=columns)
 
     columns = ["doc_id", "row", "piece", "start", "length", "ids"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(cut, "doc_id string, row long, piece int, start long, length long, ids binary")
+    out = rows.mapInArrow(cut, "doc_id string, row long, piece int, start long, length long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
