@@ -16,10 +16,11 @@ from webrank.llm.common import materialize, worker_memory
 
 CAPACITY = 4096
 END = 1
-#: Bounds on the words, and on their plain forms, that a Python worker remembers.
-REMEMBERED, PLAIN = 800_000, 500_000
-#: Letters that neither normalisation nor the pre-tokeniser splits, then marks that stay together.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Bound on the words that a Python worker remembers.
+REMEMBERED = 800_000
+#: Letters that neither normalisation nor the pre-tokeniser splits, and marks that stay together after them.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?"
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -30,9 +31,10 @@ class Encoder(dict):
     """Token ids of words, as little-endian 32-bit bytes.
 
     The vocabulary's normaliser and pre-tokeniser never join characters across white space, so the
-    ids of a text are those of its words in turn.  Words of a batch that are new are encoded
-    together: a plain word's ids end with the only one that closes a word, so many plain words can
-    go through the tokenizer as one text.  A worker keeps a bounded number of words.
+    ids of a text are those of its words in turn.  New words are encoded together: a plain word's ids
+    end with the only one that closes a word, so many plain words can go through the tokenizer as one
+    text.  A word of letters and marks has the ids of the letters, then those of the marks, and is not
+    itself remembered.  A worker keeps a bounded number of words.
     """
 
     @classmethod
@@ -46,41 +48,65 @@ class Encoder(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.plain: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new = [w for w in new if w not in self]
-        simple = [m for w in new if (m := SIMPLE.fullmatch(w))]
-        plain = list({x for m in simple if (x := m[1].lower()) not in self.plain})
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text ends among them.
+
+        Words are numbered by Arrow, so Python handles each distinct word of the texts once.
+        """
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)  # as the normaliser does, but for special tokens
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary)
+        forms = self.forms(pc.binary_join(distinct, " ")[0].as_py().split(" ")) if len(numbered) else []
+        word = numbered.indices.to_numpy()
+        data = np.frombuffer(b"".join(forms), dtype="<u4")
+        size = np.fromiter(map(len, forms), np.int64, len(forms)) // 4
+        begin = np.cumsum(size) - size
+        n = size[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = data[np.arange(ends[-1]) + np.repeat(begin[word] - ends[:-1], n)]
+        return ids, ends[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+    def forms(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        out = list(map(self.get, words))
+        plain, other = {}, {}
+        places, bodies, tails = [], [], []  # lists of tuples would cost the garbage collector time
+        for i, form in enumerate(out):
+            if form is None:
+                word = words[i]
+                body = word.rstrip(MARKS)
+                if (body.isascii() and body.isalpha()) or LETTERS.fullmatch(body):
+                    tail, body = word[len(body) :], body.lower()
+                    plain[body] = None
+                else:
+                    tail, body = word, ""
+                other[tail] = None
+                places.append(i)
+                bodies.append(body)
+                tails.append(tail)
+        self.setdefault("", b"")
+        plain = [w for w in plain if w not in self]
+        other = [w for w in other if w not in self]
         ids = np.array(self.ids([" ".join(plain)])[0], dtype="<u4")
         ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
         data = ids.tobytes()
-        self.plain.update((w, data[a:b]) for w, a, b in zip(plain, [0, *ends], ends, strict=False))
-        marks: dict[str, bytes] = {"": b""}
-        for m in simple:
-            if m[2] not in marks:
-                marks[m[2]] = as_bytes(self.ids([m[2]])[0])
-            self[m[0]] = self.plain[m[1].lower()] + marks[m[2]]
-        other = [w for w in new if w not in self]
+        self.update((w, data[a:b]) for w, a, b in zip(plain, [0, *ends], ends, strict=False))
         self.update(zip(other, map(as_bytes, self.ids(other)), strict=True))
-        yield from (b"".join(map(self.__getitem__, words)) for words in split)
+        for i, body, tail in zip(places, bodies, tails, strict=True):
+            out[i] = self[body] + self[tail]
         if len(self) > REMEMBERED:
-            for w in new:
+            for w in plain + other:
                 del self[w]
-        if len(self.plain) > PLAIN:
-            for w in plain:
-                del self.plain[w]
+        return out
 
 
-def groups(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(sizes: Iterable[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Runs (from, to) of texts of about `most` characters, whose words are held together."""
     start = held = end = 0
     for end, size in enumerate(sizes, 1):
@@ -101,22 +127,22 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(path), as_bytes([END])
+        encoder = Encoder.of(path)
         for batch in batches:
             for start, to in groups(pc.utf8_length(batch.column("text")).to_pylist()):
                 part = batch.slice(start, to - start)
-                texts = encoder.encode(part.column("text").to_pylist())
-                owner, pieces, ids = [], [], []
-                for i, text in enumerate(texts):
-                    text += end
-                    cuts = range(0, len(text), 4 * capacity)
-                    owner += [i] * len(cuts)
-                    pieces += range(len(cuts))
-                    ids += [text[at : at + 4 * capacity] for at in cuts]
-                piece = np.array(pieces, np.int32)
-                length = np.array([len(x) // 4 for x in ids], np.int64)
-                own = part.select(["doc_id", "row"]).take(pa.array(owner, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length), pa.array(ids, pa.binary())], names=columns)
+                ids, ends = encoder.encode(part.column("text"))
+                ids = np.insert(ids, ends, END)
+                length = np.diff(ends, prepend=0) + 1
+                pieces = -(-length // capacity)
+                owner = np.repeat(np.arange(len(pieces)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin = piece * capacity
+                length = np.minimum(length[owner] - begin, capacity)
+                at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * 4
+                binary = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                own = part.select(["doc_id", "row"]).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(piece.astype(np.int32)), pa.array(begin), pa.array(length), binary], names=columns)
 
     columns = ["doc_id", "row", "piece", "start", "length", "ids"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
