@@ -17,7 +17,7 @@ from webrank.llm.common import materialize, worker_memory
 CAPACITY = 4096
 END = 1
 #: Bound on the words that a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Letters that neither normalisation nor the pre-tokeniser splits, and marks that stay together after them.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?"
@@ -106,7 +106,7 @@ class Encoder(dict):
         return out
 
 
-def groups(sizes: Iterable[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def groups(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs (from, to) of texts of about `most` characters, whose words are held together."""
     start = held = end = 0
     for end, size in enumerate(sizes, 1):
