@@ -265,3 +265,27 @@ def test_decontamination(spark):
 
 def test_pipeline_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "PII", "best-fit packing"]
+
+
+def test_lm_scores_words_beyond_the_head_from_their_context(spark):
+    head, lbl.HEAD = lbl.HEAD, 8
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(8)]
+    pairs = [(f"a{i}", f"b{i}") for i in range(12)]
+    rows = [(i, " ".join(" ".join([*rng.choices(common, k=6), *rng.choice(pairs)]) for _ in range(60))) for i in range(400)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows += [(held[0], " ".join(f"c0 a{i} b{i}" for i in range(12))), (held[1], " ".join(f"c0 a{i} b{(i + 5) % 12}" for i in range(12)))]
+    got = {r.doc_id: r.score for r in lbl.score(frame(spark, rows), rounds=2).filter(F.col("doc_id") >= 1000).collect()}
+    lbl.HEAD = head
+    assert got[held[0]] > got[held[1]] + 2
+
+
+def test_lm_gives_probabilities_over_all_symbols():
+    uni = np.arange(30, 0, -1) / 465
+    model = lbl.Model.initial(uni, 8, width=7)
+    trainer = lbl.Trainer(model, uni)
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        trainer.step(*rng.integers(0, 30, (3, 512)))
+    w = np.arange(30)
+    assert np.exp(model.log_probability(np.full(30, 3), np.full(30, 28), w)).sum() == pytest.approx(1, abs=1e-4)

@@ -1,4 +1,4 @@
-"""LM scoring: a log-bilinear model trained in numpy by noise-contrastive estimation."""
+"""LM scoring: a log-bilinear model of two levels trained in numpy by noise-contrastive estimation."""
 
 from __future__ import annotations
 
@@ -11,76 +11,109 @@ from pyspark.sql import functions as F
 
 from webrank.llm.common import lower_az, materialize, words
 
-#: The words that the neural model tells apart, its dimensions, noise words a step, tokens a step.
-HEAD, DIM, NOISE, BATCH = 1022, 24, 16, 4096
-#: The most frequent words whose counts are broadcast; all others' are joined.
+#: Dimensions, noise classes and noise words a step, tokens a step.
+DIM, NOISE, INNER, BATCH = 24, 16, 8, 4096
+#: Every word of this count has vectors of its own, and so have the HEAD most frequent ones; rarer words share those of buckets of about FILL tokens.
+FLOOR, HEAD, FILL = 50, 1022, 400
+#: The most frequent words whose counts are broadcast (and all that have vectors); all others' are joined.
 FREQUENT = 200_000
 LN10 = np.log(10.0)
 
 
 @dataclass
 class Vocabulary:
-    """Counts of the FREQUENT words, sorted by hash, and their symbols; sums over all training tokens."""
+    """Counts of the frequent words, sorted by hash, and their symbols; sums over all training tokens.
+
+    The symbols are the words of their own vectors, the buckets of rarer words and the end, by falling count.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     symbols: np.ndarray
-    n_head: int
+    buckets: np.ndarray
+    bottoms: np.ndarray
+    sizes: np.ndarray
+    end: int
     totals: dict[str, float]
 
-    @property
-    def rare(self) -> int:
-        return self.n_head
-
-    @property
-    def end(self) -> int:
-        return self.n_head + 1
-
     @property
     def start(self) -> int:
-        return self.n_head + 2
+        return len(self.sizes)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, symbol) of word hashes: count -1 for words that aren't frequent."""
+        symbol = self.buckets[np.mod(h, len(self.buckets))]
         if not len(self.hashes):
-            return np.full(len(h), -1, np.int64), np.full(len(h), self.rare, np.int64)
+            return np.full(len(h), -1, np.int64), symbol
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         there = self.hashes[at] == h
-        return np.where(there, self.counts[at], -1), np.where(there, self.symbols[at], self.rare)
+        return np.where(there, self.counts[at], -1), np.where(there, self.symbols[at], symbol)
 
 
 @dataclass
 class Model:
-    """score(w | a, b) = (Q1[b] + Q2[a]) . R[w] + bias[w] for the word w after a b, normalised over all symbols."""
+    """P(w | a, b) = P(class of w | a, b) P(w | its class, a, b), each a softmax of (Q1[b] + Q2[a]) . R[x] + bias[x].
+
+    A class is `width` symbols of neighbouring counts; a model of one class is the plain log-bilinear one.
+    """
 
     q1: np.ndarray
     q2: np.ndarray
     r: np.ndarray
     bias: np.ndarray
+    class_r: np.ndarray
+    class_bias: np.ndarray
+    width: int
 
     @classmethod
-    def initial(cls, unigram: np.ndarray, dim: int, seed: int = 5) -> Model:
+    def initial(cls, unigram: np.ndarray, dim: int, seed: int = 5, width: int | None = None) -> Model:
         rng, n = np.random.default_rng(seed), len(unigram)
+        width = width or n
         make = lambda rows: rng.normal(0, 0.1, (rows, dim)).astype(np.float32)
-        return cls(make(n + 1), make(n + 1), make(n), np.log(unigram).astype(np.float32))
+        mass = class_mass(unigram, width)
+        return cls(make(n + 1), make(n + 1), make(n), np.log(unigram).astype(np.float32), make(len(mass)), np.log(mass).astype(np.float32), width)
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.q1, self.q2, self.r, self.bias[:, None], self.class_r, self.class_bias[:, None]]
+
+    def copy(self) -> Model:
+        return Model(*(x.copy() for x in (self.q1, self.q2, self.r, self.bias, self.class_r, self.class_bias)), self.width)
+
+    def normalisers(self, a: np.ndarray, b: np.ndarray, c: int = 0) -> np.ndarray:
+        """log Z of contexts over the symbols of class c."""
+        rows = slice(c * self.width, (c + 1) * self.width)
+        return log_z((self.q1[b] + self.q2[a]), self.r[rows], self.bias[rows])
+
+    def log_probability(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural logarithms of P(w | a, b), by matrix products over the classes and over each class's symbols."""
+        order = np.argsort(w // self.width, kind="stable")
+        a, b, w = a[order], b[order], w[order]
+        of = w // self.width
+        q = self.q1[b] + self.q2[a]
+        got = np.einsum("ij,ij->i", q, self.class_r[of]) + self.class_bias[of] - log_z(q, self.class_r, self.class_bias)
+        got += np.einsum("ij,ij->i", q, self.r[w]) + self.bias[w]
+        bounds = [*np.flatnonzero(np.diff(of, prepend=-1)), len(of)]
+        for i, j in zip(bounds, bounds[1:]):
+            rows = slice(of[i] * self.width, (of[i] + 1) * self.width)
+            got[i:j] -= log_z(q[i:j], self.r[rows], self.bias[rows])
+        out = np.empty(len(w), np.float32)
+        out[order] = got
+        return out
 
-    def stacked(self) -> np.ndarray:
-        bias = np.zeros((len(self.bias), self.r.shape[1]), np.float32)
-        bias[:, 0] = self.bias
-        return np.concatenate([self.q1, self.q2, self.r, bias])
 
-    @classmethod
-    def unstacked(cls, x: np.ndarray, n: int) -> Model:
-        return cls(x[: n + 1], x[n + 1 : 2 * n + 2], x[2 * n + 2 : 3 * n + 2], x[3 * n + 2 :, 0].copy())
-
-    def normalisers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """log Z of contexts, by matrix products over the whole vocabulary."""
-        out = np.empty(len(a), np.float32)
-        for i in range(0, len(a), 8192):
-            s = (self.q1[b[i : i + 8192]] + self.q2[a[i : i + 8192]]) @ self.r.T + self.bias
-            top = s.max(axis=1, keepdims=True)
-            out[i : i + 8192] = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
-        return out
+def log_z(q: np.ndarray, r: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = np.empty(len(q), np.float32)
+    for i in range(0, len(q), 2048):
+        s = q[i : i + 2048] @ r.T
+        s += bias
+        top = s.max(axis=1, keepdims=True)
+        s -= top
+        out[i : i + 2048] = top[:, 0] + np.log(np.exp(s, out=s).sum(axis=1))
+    return out
+
+
+def class_mass(unigram: np.ndarray, width: int) -> np.ndarray:
+    return np.add.reduceat(unigram, np.arange(0, len(unigram), width))
 
 
 def trigrams(h: np.ndarray, size: np.ndarray, vocabulary: Vocabulary):
@@ -100,40 +133,72 @@ def trigrams(h: np.ndarray, size: np.ndarray, vocabulary: Vocabulary):
     return owner[target], count[target], padded[target - 2], padded[target - 1], padded[target], place[target]
 
 
+def up_to(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
 class Trainer:
-    """AdaGrad on the noise-contrastive objective; a step's noise words are shared by its tokens."""
+    """AdaGrad on the noise-contrastive objective of both levels, on the rows that a step touches.
+
+    A step's noise classes are shared by its tokens, and a class's noise words by the class's tokens.
+    """
+
+    POOL = 512
 
     def __init__(self, model: Model, unigram: np.ndarray, rate: float = 0.1):
         self.m, self.rate, self.seen = model, rate, 0
-        self.log_noise = np.log(NOISE * unigram).astype(np.float32)
-        self.cumulative = np.cumsum(unigram)
-        self.squares = [np.full(x.shape, 1e-2, np.float32) for x in (model.q1, model.q2, model.r, model.bias)]
+        mass = class_mass(unigram, model.width)
+        of = np.arange(len(unigram)) // model.width
+        self.log_class = np.log(NOISE * mass).astype(np.float32)
+        self.log_noise = np.log(INNER * unigram / mass[of]).astype(np.float32)
         self.rng = np.random.default_rng(11)
-
-    def apply(self, i: int, x: np.ndarray, grad: np.ndarray) -> None:
-        self.squares[i] += grad * grad
-        x += self.rate * grad / np.sqrt(self.squares[i])
-
-    @staticmethod
-    def scatter(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
-        flat = (index[:, None] * grad.shape[1] + np.arange(grad.shape[1])).reshape(-1)
-        return np.bincount(flat, weights=grad.reshape(-1), minlength=n * grad.shape[1]).reshape(n, -1).astype(np.float32)
+        self.classes = np.cumsum(mass)
+        ends = np.cumsum(unigram)
+        pool = np.searchsorted(ends, (self.classes - mass)[:, None] + self.rng.random((len(mass), self.POOL)) * mass[:, None])
+        first = np.arange(len(mass))[:, None] * model.width
+        self.pool = np.clip(pool, first, np.minimum(first + model.width, len(unigram)) - 1)
+        self.squares = [np.ones(x.shape, np.float32) for x in model.parts()]
+        self.times = [np.zeros(len(x), np.int64) for x in model.parts()]
+
+    def apply(self, i: int, index: np.ndarray, grad: np.ndarray) -> None:
+        """Add the gradients of the rows of `index`, which may repeat, to part i."""
+        rows, at, n = np.unique(index, return_inverse=True, return_counts=True)
+        width = grad.shape[1]
+        flat = (at[:, None] * width + np.arange(width)).reshape(-1)
+        total = np.bincount(flat, weights=grad.reshape(-1), minlength=len(rows) * width).reshape(-1, width).astype(np.float32)
+        squares = self.squares[i][rows] + total * total
+        self.squares[i][rows] = squares
+        self.m.parts()[i][rows] += self.rate * total / np.sqrt(squares)
+        self.times[i][rows] += n
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, len(self.m.r)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), n - 1)
+        m = self.m
+        order = np.argsort(w // m.width, kind="stable")
+        a, b, w = a[order], b[order], w[order]
+        of = w // m.width
         q = m.q1[b] + m.q2[a]
-        up = 1 / (1 + np.exp(np.clip((q * m.r[w]).sum(axis=1) + m.bias[w] - self.log_noise[w], -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(q @ m.r[noise].T + m.bias[noise] - self.log_noise[noise], -30, 30)))
-        dq = (up[:, None] * m.r[w] - down @ m.r[noise]) / len(w)
-        dr = self.scatter(w, up[:, None] * q, n)
-        np.subtract.at(dr, noise, down.T @ q)
-        db = np.bincount(w, weights=up, minlength=n)
-        np.subtract.at(db, noise, down.sum(axis=0))
-        self.apply(0, m.q1, self.scatter(b, dq, n + 1))
-        self.apply(1, m.q2, self.scatter(a, dq, n + 1))
-        self.apply(2, m.r, dr / len(w))
-        self.apply(3, m.bias, (db / len(w)).astype(np.float32))
+        dq = np.zeros_like(q)
+        if len(self.classes) > 1:
+            noise = np.minimum(np.searchsorted(self.classes, self.rng.random(NOISE) * self.classes[-1]), len(self.classes) - 1)
+            up = 1 - up_to((q * m.class_r[of]).sum(axis=1) + m.class_bias[of] - self.log_class[of])
+            down = up_to(q @ m.class_r[noise].T + m.class_bias[noise] - self.log_class[noise])
+            dq += up[:, None] * m.class_r[of] - down @ m.class_r[noise]
+            index = np.concatenate([of, noise])
+            self.apply(4, index, np.concatenate([up[:, None] * q, -down.T @ q]))
+            self.apply(5, index, np.concatenate([up, -down.sum(axis=0)])[:, None])
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+        noise = self.pool[of[first][:, None], self.rng.integers(0, self.POOL, (len(first), INNER))]
+        r = m.r[noise][at]
+        up = 1 - up_to((q * m.r[w]).sum(axis=1) + m.bias[w] - self.log_noise[w])
+        down = up_to(np.matmul(r, q[:, :, None])[:, :, 0] + (m.bias[noise] - self.log_noise[noise])[at])
+        dq += up[:, None] * m.r[w] - np.matmul(down[:, None, :], r)[:, 0]
+        dr = np.add.reduceat(down[:, :, None] * q[:, None, :], first, axis=0)
+        index = np.concatenate([w, noise.reshape(-1)])
+        self.apply(2, index, np.concatenate([up[:, None] * q, -dr.reshape(-1, q.shape[1])]))
+        self.apply(3, index, np.concatenate([up, -np.add.reduceat(down, first, axis=0).reshape(-1)])[:, None])
+        self.apply(0, b, dq)
+        self.apply(1, a, dq)
         self.seen += len(w)
 
 
@@ -142,6 +207,15 @@ def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64)
 
 
+def groups(batch: pa.RecordBatch, most: int = 1 << 19):
+    """Slices of a batch of at most `most` tokens, or of one text, which bound what a step of a worker holds."""
+    ends, i = batch.column("h").offsets.to_numpy(), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, h: the words' hashes of every row; a null doc_id counts as training."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
@@ -158,40 +232,50 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """Ends are counted as a word of their own, one a training document."""
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "h").limit(FREQUENT).toPandas()
-    head = min(HEAD, len(top))
-    order = np.argsort(top.h.to_numpy(np.int64))
-    symbols = np.full(len(top), head, np.int64)
-    symbols[:head] = np.arange(head)
-    c = top.c.to_numpy(np.int64)
-    totals = {"n": float(n + n_docs), "v": float(v + (n_docs > 0)), "end": float(n_docs), "rare_n": float(n - c[:head].sum()), "rare_v": float(v - head)}
-    totals["head"] = [float(x) for x in c[:head]]
-    return Vocabulary(top.h.to_numpy(np.int64)[order], c[order], symbols[order], head, totals)
+    n, v, own = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") >= FLOOR, 1))).first()
+    own = max(own, min(HEAD, v))
+    top = counts.orderBy(F.col("c").desc(), "h").limit(max(FREQUENT, own)).toPandas()
+    h, c = top.h.to_numpy(np.int64), top.c.to_numpy(np.int64)
+    n_buckets = max(1, int(n - c[:own].sum()) // FILL)
+    rare = counts.filter((F.col("c") < int(c[own - 1])) | ((F.col("c") == int(c[own - 1])) & (F.col("h") > int(h[own - 1])))) if own else counts
+    rare = rare.groupBy(F.pmod("h", F.lit(n_buckets)).alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    rare_n, rare_v = np.zeros(n_buckets), np.zeros(n_buckets)
+    rare_n[rare.b.to_numpy(np.int64)], rare_v[rare.b.to_numpy(np.int64)] = rare.n, rare.v
+    sizes = np.concatenate([c[:own], rare_n, [n_docs]])
+    by_count = np.argsort(-sizes, kind="stable")
+    symbol = np.empty(len(sizes), np.int64)
+    symbol[by_count] = np.arange(len(sizes))
+    bottoms = np.concatenate([np.zeros(own), rare_n + 0.5 * (rare_v + 1), [0]])[by_count]
+    buckets = symbol[own:-1]
+    symbols = buckets[np.mod(h, n_buckets)]
+    symbols[:own] = symbol[:own]
+    order = np.argsort(h)
+    totals = {"n": float(n + n_docs), "v": float(v + (n_docs > 0)), "end": float(n_docs)}
+    return Vocabulary(h[order], c[order], symbols[order], buckets, bottoms, sizes[by_count], int(symbol[-1]), totals)
 
 
 def unigram(v: Vocabulary) -> np.ndarray:
-    n = np.array([*v.totals["head"], v.totals["rare_n"], v.totals["end"]]) + 0.5
+    n = v.sizes + 0.5
     return n / n.sum()
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = 1) -> Model:
     """The model after `rounds` passes over all training documents.
 
-    Each partition trains from the same start over all of its tokens; the parameters are averaged by
-    tokens as a grouped sum, one row per parameter row, so only one model comes to the driver.
+    Each partition trains from the same start over all of its tokens; a parameter row is averaged by
+    its uses over the partitions that used it as a grouped sum, so only one model comes to the driver.
     """
-    first = Model.initial(unigram(v), DIM)
-    n = len(first.r)
+    first = Model.initial(unigram(v), DIM, width=int(np.ceil(np.sqrt(v.start))))
+    names = [f"x{i}" for i in range(DIM + 1)]
     rows = hashed(docs).filter("not held_out").select("h")
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((v, first))
 
         def work(batches, shared=shared):
             v, start = shared.value
-            model = Model.unstacked(start.stacked().copy(), n)
+            model = start.copy()
             trainer, left = Trainer(model, unigram(v)), None
-            for batch in batches:
+            for batch in (group for whole in batches for group in groups(whole)):
                 h, size = flat_lists(batch.column("h"))
                 _, _, a, b, w, _ = trigrams(h, size, v)
                 if left is not None:
@@ -202,15 +286,24 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 1) -> Model:
                 left = (a[whole:], b[whole:], w[whole:])
             if left is not None and len(left[2]):
                 trainer.step(*left)
-            if trainer.seen:
-                x = model.stacked().astype(np.float64) * trainer.seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)), pa.int32()), pa.array(np.full(len(x), trainer.seen), pa.int64()), *(pa.array(x[:, i]) for i in range(DIM))], names=["i", "n", *(f"x{i}" for i in range(DIM))])
-
-        sums = rows.mapInArrow(work, "i int, n long, " + ", ".join(f"x{i} double" for i in range(DIM)))
-        got = sums.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(f"x{i}").alias(f"x{i}") for i in range(DIM))).orderBy("i").toPandas()
-        if len(got):
-            mean = got[[f"x{i}" for i in range(DIM)]].to_numpy() / got[["n"]].to_numpy()
-            first = Model.unstacked(mean.astype(np.float32), n)
+            base = 0
+            for x, bias, times in ((model.q1, None, trainer.times[0]), (model.q2, None, trainer.times[1]), (model.r, model.bias, trainer.times[2]), (model.class_r, model.class_bias, trainer.times[4])):
+                used = np.flatnonzero(times)
+                for i in range(0, len(used), 1 << 16):
+                    u = used[i : i + (1 << 16)]
+                    columns = [*(x[u, k] for k in range(DIM)), bias[u] if bias is not None else np.zeros(len(u), np.float32)]
+                    yield pa.RecordBatch.from_arrays([pa.array((base + u).astype(np.int32)), pa.array(times[u]), *map(pa.array, columns)], names=["i", "n", *names])
+                base += len(x)
+
+        sums = rows.mapInArrow(work, "i int, n long, " + ", ".join(f"{x} float" for x in names))
+        got = sums.groupBy("i").agg(*((F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in names)).toPandas()
+        first, at, x, base = first.copy(), got["i"].to_numpy(np.int64), got[names].to_numpy(np.float32), 0
+        for part, bias in ((first.q1, None), (first.q2, None), (first.r, first.bias), (first.class_r, first.class_bias)):
+            here = (at >= base) & (at < base + len(part))
+            part[at[here] - base] = x[here, :DIM]
+            if bias is not None:
+                bias[at[here] - base] = x[here, DIM]
+            base += len(part)
     return first
 
 
@@ -221,29 +314,24 @@ def scored(docs: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast((v, model))
     t = v.totals
-    base_bottom, rare_bottom = t["n"] + 0.5 * (t["v"] + 1), t["rare_n"] + 0.5 * (t["rare_v"] + 1)
+    base_bottom = t["n"] + 0.5 * (t["v"] + 1)
 
     def work(batches):
         v, m = shared.value
-        width = v.start + 1
-        log_z = np.full(width * width, np.nan, np.float32)
+        bottom_log = np.log10(np.where(v.bottoms > 0, v.bottoms, 1.0))
         end_log = np.log10(v.totals["end"] + 0.5)
-        for batch in batches:
+        for batch in (group for whole in batches for group in groups(whole)):
             h, size = flat_lists(batch.column("h"))
             owner, count, a, b, w, place = trigrams(h, size, v)
             docs_n = len(size)
-            context = a * width + b
-            new = np.unique(context[np.isnan(log_z[context])])
-            log_z[new] = m.normalisers(new // width, new % width)
             token = np.empty(len(w))
             for i in range(0, len(w), 1 << 18):
                 s = slice(i, i + (1 << 18))
-                token[s] = np.einsum("ij,ij->i", m.q1[b[s]] + m.q2[a[s]], m.r[w[s]]) + m.bias[w[s]] - log_z[context[s]]
+                token[s] = m.log_probability(a[s], b[s], w[s])
             token /= LN10
             known = count > 0
             log_c = np.where(known, np.log10(np.maximum(count, 1) + 0.5), np.where(count == -2, end_log, 0.0))
-            rare = w == v.rare
-            token += np.where(rare, log_c - np.log10(rare_bottom), 0.0)
+            token += np.where(v.bottoms[w] > 0, log_c - bottom_log[w], 0.0)
             sums = lambda x: np.bincount(owner, weights=x, minlength=docs_n)
             n_tokens = np.bincount(owner, minlength=docs_n)
             n_known = sums(known) + (v.totals["end"] > 0)
@@ -265,11 +353,12 @@ def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs.
 
     score is the log10 probability of a text: the log-bilinear model's for the symbols of its tokens
-    (the HEAD most frequent words, the end, and `rare` for all others), and for a rare word that of
-    the word among rare ones, (c + 0.5) / (n + 0.5 * (v + 1)) by its count.
+    (every word of FLOOR occurrences or among the HEAD most frequent, the end, and buckets by hash for
+    all others), and for a word of a bucket also that of the word in it, (c + 0.5) / (n + 0.5 * (v + 1))
+    by its count.  Words with vectors and buckets grow in number with the corpus.
 
-    Counts cover all training documents.  Those of the FREQUENT words are broadcast, a table of fixed
-    size; other words of a text leave as (hash, frequency) and meet their counts in a join.
+    Counts cover all training documents.  Those of the FREQUENT words, and of all with
+    vectors of their own, are broadcast; other words of a text leave as (hash, frequency) and meet their counts in a join.
 
     Nulls: a null text is empty and has its end alone; a null doc_id counts as training.  Repeated
     rows get a row each.  Without training documents all words are unknown; an empty table gives no rows.
