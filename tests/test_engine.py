@@ -1,13 +1,14 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from webrank.operators import crawl, dedup, graph, index, search
 from webrank.operators.index import IndexTables
-from webrank.sources.pages import read_json, table_fetcher
+from webrank.sources.pages import download, read_json, table_fetcher
 from webrank.streaming.incremental import compact, index_stream
 
 
@@ -92,6 +93,45 @@ def test_crawl_reaches_all(spark, site):
     assert {(r.url, r.depth) for r in got} == {("http://a.com", 0), ("http://a.com/b", 1), ("http://a.com/c", 1)}
 
 
+@pytest.fixture
+def chain(spark, monkeypatch):
+    """Fetches of p0 ... p(n - 1), each with a link to the next; the scraping rules, tested above, are left out."""
+    monkeypatch.setattr(crawl, "scrape", lambda responses, *_: responses.filter("status = 200").select(F.col("url").alias("source"), F.decode("body", "UTF-8").alias("url")))
+    monkeypatch.setattr(crawl, "bad_urls", lambda responses: responses.select("url").limit(0))
+    for name, rule in {"url_hash": F.sha1, "normalize_frontier": lambda url: url, "hostname": lambda url: F.lit("a.com"), "valid_seed": lambda url: url.isNotNull()}.items():
+        monkeypatch.setattr(crawl.U, name, rule)
+    monkeypatch.setattr(crawl, "allowed_domains", lambda seeds: seeds.select(F.lit("a.com").alias("domain")))
+    monkeypatch.setattr(crawl, "valid", lambda rows, *_, **__: rows.filter("url not like '%/invalid'"))
+    status = lambda n: F.when(F.substring_index("url", "/p", -1).cast("int") < n, 200).otherwise(404)
+    after = F.concat(F.lit("http://a.com/p"), F.substring_index("url", "/p", -1).cast("int") + 1)
+    return lambda n: lambda urls: urls.select("url", status(n).alias("status"), F.encode(after, "UTF-8").alias("body"))
+
+
+def test_crawl_goes_on_until_the_frontier_is_empty(spark, chain):
+    got = crawl.crawl(spark, spark.createDataFrame([("http://a.com/p0",)], "url string"), chain(11)).collect()
+    assert {(r.url, r.depth, r.status) for r in got} == {(f"http://a.com/p{i}", i, 200 if i < 11 else 404) for i in range(12)}
+
+
+def test_crawl_resumes(spark, chain, tmp_path):
+    fetch, asked = chain(3), []
+
+    def noted(urls):
+        asked.extend(r.url for r in urls.collect())
+        return fetch(urls)
+
+    seeds = spark.createDataFrame([("http://a.com/p0",)], "url string")
+    crawl.crawl(spark, seeds, noted, max_rounds=2, state=str(tmp_path))
+    got = crawl.crawl(spark, seeds, noted, state=str(tmp_path)).collect()
+    want = {f"http://a.com/p{i}": i for i in range(4)}
+    assert {r.url: r.depth for r in got} == want and sorted(asked) == sorted(want) and len(got) == len(want)
+
+
+def test_politeness(spark):
+    urls = spark.createDataFrame([(f"http://127.0.0.1:9/{i}",) for i in range(3)], "url string").coalesce(1)
+    start = time.monotonic()
+    assert download(urls, "x", politeness=1.5).filter("status = 602").count() == 3 and time.monotonic() - start >= 3
+
+
 def test_stream_equals_batch(spark, site, tmp_path):
     index_stream(spark, site[0], f"{tmp_path}/part", f"{tmp_path}/check", files_per_batch=1).awaitTermination()
     compact(spark, f"{tmp_path}/part", f"{tmp_path}/whole")

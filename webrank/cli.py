@@ -31,7 +31,7 @@ def main(args: list[str] | None = None) -> None:
     if o.command == "crawl":
         config = CrawlConfig.read(o.config)
         seeds = spark.createDataFrame([(x,) for x in config.seeds], "url string")
-        pages = C.crawl(spark, seeds, lambda urls: download(urls, config.user_agent), state=f"{o.index}/frontier")
+        pages = C.crawl(spark, seeds, lambda urls: download(urls, config.user_agent, politeness=config.politeness), state=f"{o.index}/frontier", threads=config.threads)
         write_pages(pages.filter("status = 200").select("url", F.decode("body", "UTF-8").alias("content")), o.pages)
     elif o.command == "build-index":
         build_index(read_json(spark, o.pages)).save(o.index)

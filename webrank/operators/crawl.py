@@ -11,7 +11,7 @@ from webrank.config import BLOCKED_ACTIONS, BLOCKED_EXTENSIONS, TRAP_PATHS, TRAP
 from webrank.functions import urls as U
 from webrank.functions.html import next_links, visible_text
 from webrank.functions.text import to_text, tokenize_with_stop_words
-from webrank.sources.scratch import materialize
+from webrank.sources.scratch import materialize, new_path
 
 BAD_STATUS = [404, 410, 403, *range(600, 608)]
 
@@ -116,33 +116,67 @@ def scrape(responses: DataFrame, domains: list[str] | None = None, bad: DataFram
     return valid(rows, domains, bad, limit=settings.max_variants).select("source", "url")
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_rounds: int = 10, max_pages: int | None = None, state: str | None = None, settings: Settings = Settings()) -> DataFrame:
-    """url, depth, round responses of a crawl from seeds(url), level by level.
+def last_round(spark: SparkSession, root: str) -> int:
+    """The number of the last round stored whole under root; -1 without any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/round-*/done/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max((int(x.getPath().getParent().getParent().getName()[len("round-") :]) for x in found), default=-1)
 
-    A round fetches the frontier, dealt by host, stores the responses, and adds links whose hash is
-    unseen.  The seen set and each round's responses are tables in the shared folder (or under
-    `state`), so a crawl resumes from the last whole round.
+
+def crawl(spark: SparkSession, seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_rounds: int | None = None, max_pages: int | None = None, state: str | None = None, settings: Settings = Settings(), threads: int | None = None) -> DataFrame:
+    """url, depth, round responses of a crawl from seeds(url), level by level, until the frontier is empty.
+
+    A round fetches the frontier, dealt by host (to `threads` tasks, if given), stores the responses,
+    and adds links whose hash is unseen.  What each round adds is stored in the shared folder, or under
+    `state`: its responses, new bad URLs and the frontier it leaves.  A crawl with a `state` resumes
+    after its last whole round, from the frontier's URLs that are still valid, and gives the earlier
+    rounds' responses too.  max_rounds and max_pages limit one call; what they leave stays in the frontier.
     """
     domains = [r.domain for r in allowed_domains(seeds).collect()]  # as many as the operator gives seeds
-    first = seeds.filter(U.valid_seed(F.col("url"))).select(U.normalize_frontier(F.col("url")).alias("url"))
-    frontier = materialize(first.withColumn("hash", U.url_hash(F.col("url"))).dropDuplicates(["hash"]), "frontier")
-    seen, bad, pages, n = frontier.select("hash"), None, None, 0
-    for depth in range(max_rounds):
-        todo = frontier.limit(max_pages - n) if max_pages is not None else frontier
-        responses = fetch(todo.select("url").repartition(U.hostname(F.col("url")))).withColumn("depth", F.lit(depth))
-        responses = materialize(responses, "responses")
-        n += responses.count()
-        pages = responses if pages is None else pages.unionByName(responses)
-        new_bad = bad_urls(responses)
-        bad = materialize(new_bad if bad is None else bad.union(new_bad).distinct(), "bad-urls")
-        links = scrape(responses, domains, bad, settings).select(U.normalize_frontier(F.col("url")).alias("url"))
-        links = links.withColumn("hash", U.url_hash(F.col("url"))).groupBy("hash").agg(F.min("url").alias("url"))
-        frontier = materialize(links.join(seen, "hash", "left_anti").select("url", "hash"), "frontier")
-        if not frontier.limit(1).count() or (max_pages is not None and n >= max_pages):
-            break
-        seen = materialize(seen.union(frontier.select("hash")), "seen")
-    if state:
-        seen.write.mode("overwrite").parquet(f"{state}/seen")
-        frontier.write.mode("overwrite").parquet(f"{state}/to_be_downloaded")
-        pages.select("url").write.mode("overwrite").parquet(f"{state}/completed")
-    return pages
+    root = state.rstrip("/") if state else new_path(spark, "crawl")
+    last = last_round(spark, root)
+    at = lambda i: f"{root}/round-{i:06d}"
+    stored = lambda name, first=0: spark.read.parquet(*(f"{at(i)}/{name}" for i in range(first, last + 1)))
+
+    def store(rows: DataFrame, name: str) -> DataFrame:
+        path = f"{at(last + 1)}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    def end_round() -> None:
+        nonlocal last
+        store(spark.range(1), "done")
+        last += 1
+
+    if last < 0:
+        first = seeds.filter(U.valid_seed(F.col("url"))).select(U.normalize_frontier(F.col("url")).alias("url"))
+        frontier = store(first.withColumn("hash", U.url_hash(F.col("url"))).dropDuplicates(["hash"]).select("url", "hash", F.lit(0).alias("depth")), "frontier")
+        end_round()
+    else:
+        frontier = stored("frontier", last)
+        bad = stored("bad", 1).distinct() if last > 0 else None
+        if last > 0:
+            frontier = valid(frontier.withColumn("arrival", F.col("url")), domains, bad, limit=settings.max_variants).drop("arrival")
+        frontier = materialize(frontier, "frontier")
+    # round 0 is the seeds'; a round's `bad` and `responses` begin at 1
+    n = done = 0
+    while frontier.limit(1).count() and (max_rounds is None or done < max_rounds) and (max_pages is None or n < max_pages):
+        todo = materialize(frontier.limit(max_pages - n), "todo") if max_pages is not None else frontier
+        host = U.hostname(F.col("url"))
+        dealt = todo.select("url").repartition(threads, host) if threads else todo.select("url").repartition(host)
+        responses = fetch(dealt).join(todo.select("url", "depth"), "url")
+        responses = store(responses, "responses")
+        n, done = n + responses.count(), done + 1
+        store(bad_urls(responses), "bad")
+        bad = spark.read.parquet(*(f"{at(i)}/bad" for i in range(1, last + 2))).distinct()
+        links = materialize(scrape(responses, domains, bad, settings).select("source", U.normalize_frontier(F.col("url")).alias("url")), "links")
+        links = links.join(responses.select(F.col("url").alias("source"), "depth").distinct(), "source")
+        links = links.withColumn("hash", U.url_hash(F.col("url"))).groupBy("hash").agg(F.min("url").alias("url"), (F.min("depth") + 1).alias("depth"))
+        links = links.join(stored("frontier").select("hash"), "hash", "left_anti").select("url", "hash", "depth")
+        if max_pages is not None:
+            links = frontier.join(todo.select("hash"), "hash", "left_anti").select("url", "hash", "depth").union(links)
+        frontier = store(links, "frontier")
+        end_round()
+    if last < 1:
+        return fetch(frontier.select("url").limit(0)).withColumn("depth", F.lit(0))
+    return stored("responses", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 import urllib.error
 import urllib.request
 
@@ -54,13 +56,20 @@ def latest(pages: DataFrame) -> DataFrame:
     return pages.dropDuplicates(["url"])
 
 
-def download(urls: DataFrame, user_agent: str, connect: float = 5.0) -> DataFrame:
-    """Fetch urls(url); errors become statuses 600 (invalid URL), 601 (time-out), 602 (connection), 603 (other)."""
+def download(urls: DataFrame, user_agent: str, connect: float = 5.0, politeness: float = 0.0) -> DataFrame:
+    """Fetch urls(url); errors become statuses 600 (invalid URL), 601 (time-out), 602 (connection), 603 (other).
+
+    A host's fetches in a task are at least `politeness` seconds apart.
+    """
 
     def fetch(batches):
+        ended = {}
         for batch in batches:
             rows = []
             for url in batch.url:
+                host = re.sub(r"^[^:/?#]*://|[/?#].*", "", url).lower()
+                if host in ended:
+                    time.sleep(max(0.0, ended[host] + politeness - time.monotonic()))
                 try:
                     with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": user_agent}), timeout=connect) as r:
                         rows.append((url, r.geturl(), r.status, r.headers.get("Content-Type"), r.read(), None))
@@ -74,6 +83,7 @@ def download(urls: DataFrame, user_agent: str, connect: float = 5.0) -> DataFram
                     rows.append((url, url, 602, None, None, str(e)))
                 except Exception as e:  # noqa: BLE001  whatever a server does is a status
                     rows.append((url, url, 603, None, None, str(e)))
+                ended[host] = time.monotonic()
             yield pd.DataFrame(rows, columns=["url", "final_url", "status", "content_type", "body", "error"])
 
     return urls.select("url").mapInPandas(fetch, RESPONSE)
