@@ -10,64 +10,29 @@ Conventions kept by every operator of this subpackage:
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
-from urllib.parse import urlparse
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webrank.sources.scratch import materialize, new_path  # noqa: F401
+
+
 #: ASCII white space: the separators of words in all operators here.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What one operator keeps in this Python worker between its tasks, by the operator's name.
 _kept: dict[str, object] = {}
-_own_dirs: dict[str, str] = {}
-_written: list[str] = []
+
+#: Bins of a histogram, and values few enough to sort on the driver, in kth_largest().
+BINS, FEW = 4096, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="webrank-shared-")
-        _written.append(_own_dirs[app])
-    return f"file://{_own_dirs[app]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: it survives lost executors and cuts lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def cleanup() -> None:
-    """Remove written tables; those in a remote folder are left to its life-cycle rules."""
-    while _written:
-        url = urlparse(_written.pop())
-        if url.scheme in ("", "file"):
-            shutil.rmtree(url.path, ignore_errors=True)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if it has been counted to at most this many rows; else leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -84,6 +49,18 @@ def worker_memory(owner: str, make: Callable[[], object] | None = None) -> objec
     return _kept[owner]
 
 
+def runs(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of rows whose sizes sum up to about `most`, or of one larger row, which are held together."""
+    start = held = end = 0
+    for end, size in enumerate(sizes, 1):
+        held += size
+        if held > most:
+            yield start, end
+            start, held = end, 0
+    if start < end:
+        yield start, end
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space."""
     return F.array_remove(F.split(text, SPACE + "+"), "")
@@ -94,7 +71,70 @@ def lower_az(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
+def row_id(doc_id: str = "doc_id") -> Column:
+    """doc_id, with a number of its own for nulls, so that rows without an id can be joined."""
+    return F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).cast("long")
+
+
+def row_key(text: str = "text") -> Column:
+    """A hash of doc_id and text: with row_id() it tells rows apart that share a doc_id."""
+    return F.xxhash64("doc_id", F.coalesce(text, F.lit("")))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """_id, _key, _row: every row of docs whole, as a struct, so that no column of its own can clash."""
+    return docs.select(row_id().alias("_id"), row_key().alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, once: bool = False) -> DataFrame:
+    """docs without the rows that decisions(_id, _key, kept) reject; a row without a decision stays.
+
+    Decisions are made by doc_id and text together, a null doc_id included, or by doc_id alone if
+    they have no _key.  With `once`, rows equal in both leave one; only texts that occur more than
+    once are shuffled for it.
+    """
+    on = [c for c in ("_id", "_key") if c in decisions.columns]
+    bad = materialize(decisions.filter("not kept").select(on).distinct(), "rejected")
+    rows = packed(docs).join(small(bad, 2_000_000), on, "left_anti")
+    if once:
+        again = rows.groupBy("_id", "_key").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_key")
+        again = materialize(again, "repeated")
+        if again.limit(1).count():
+            side = small(again, 2_000_000)
+            one = rows.join(side, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.any_value("_row").alias("_row"))
+            rows = rows.join(side, ["_id", "_key"], "left_anti").unionByName(one)
+    return rows.select("_row.*")
+
+
+def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
+    """The k-th largest value of a column, exactly, by repeated histograms of at most BINS + 1 bins.
+
+    None if k < 1.  With fewer than k rows it is the smallest.  Only histograms, and in the end at
+    most FEW values, come to the driver.
+    """
+    rows, value = rows.select(key).filter(F.col(key).isNotNull()), F.col(key)
+    while k > 0:
+        low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+        if not n or k >= n or low == high:
+            return low
+        if n <= FEW:
+            return sorted((r[0] for r in rows.collect()), reverse=True)[k - 1]
+        place = F.floor((value - low) * F.lit(BINS / (high - low)))
+        for place_, count in sorted(rows.groupBy(place.alias("p")).count().collect(), reverse=True):
+            if k <= count:
+                rows = rows.filter(place == place_)
+                break
+            k -= count
+    return None
+
+
 def labelled_ids(labels: DataFrame, quality: int, limit: int) -> DataFrame:
-    """Distinct doc_id with this quality; the `limit` ids of smallest hash, which bounds what is broadcast."""
+    """Distinct doc_id with this quality; if more than `limit`, those of the smallest hashes, which bounds what is broadcast.
+
+    The cut is found by histogram, so no task and not the driver gets all ids.
+    """
     ids = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    if ids.count() <= limit:
+        return ids
+    ids = materialize(ids.withColumn("_rank", -F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double")), "labelled")
+    return ids.filter(F.col("_rank") >= kth_largest(ids, "_rank", limit)).select("doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import labelled_ids, materialize
+from webrank.llm.common import materialize
 
 #: Runs of letters and digits, and runs of anything else but white space.
 TOKENS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
@@ -26,15 +26,15 @@ def buckets(n: int) -> tuple[Column, Column]:
     return single, double
 
 
-def fit(docs: DataFrame, labels: DataFrame, n: int, prior: float, max_labelled: int) -> DataFrame:
+def fit(docs: DataFrame, trusted: DataFrame, n: int, prior: float) -> DataFrame:
     """(bucket, llr) for all n + 1 buckets: log of target over raw probability.
 
-    The raw model counts every document.  The target counts the trusted ones (quality 1; at most
-    max_labelled ids, smallest hash first).  Each bucket of the target gets `prior` pseudo-counts and
+    The raw model counts every document.  The target counts the trusted ones, distinct doc_id of a
+    bounded number.  Each bucket of the target gets `prior` pseudo-counts and
     of the raw model as many for the sizes' ratio, so a bucket with few counts has a ratio near 0 and,
     without labels, all have.
     """
-    trusted = F.broadcast(labelled_ids(labels, 1, max_labelled)).withColumn("_trusted", F.lit(1))
+    trusted = F.broadcast(trusted).withColumn("_trusted", F.lit(1))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     rows = with_pairs(rows.join(trusted, "doc_id", "left").drop("doc_id"), "_text").filter(F.col("a").isNotNull())
     single, double = buckets(n)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrank.llm import ngrams
-from webrank.llm.common import SPACE, words
+from webrank.llm.common import SPACE, labelled_ids, words
 
 WINDOW = 8
 
@@ -55,7 +55,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, pr
     Nulls: a null text counts as empty (score 0, base_failed); a null doc_id is carried through.
     Without labels every score is 0.  Repeated rows get a row each; empty tables give none.
     """
-    model = ngrams.fit(docs, labels, buckets, prior, max_labelled)
+    model = ngrams.fit(docs, labelled_ids(labels, 1, max_labelled), buckets, prior)
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = ngrams.score(surface(docs), counts, "_text", model, buckets)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
