@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webrank.llm.common import lower_az, materialize, small
+from webrank.llm.common import lower_az, materialize, row_id, row_key, small
 
-SIZE = 13
+#: Words of a window, and places by which the words of a proximity match may be off.
+SIZE, SLOP = 13, 2
 #: Bounds on the tables that are broadcast; beyond them the same joins shuffle.
 TERMS, CANDIDATES = 500_000, 500_000
 
@@ -18,32 +19,40 @@ def item_words(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, _id, _key, w: _id and _key tell texts apart; w has the words."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("_id"), F.xxhash64("doc_id", text).alias("_key"), item_words(F.col("text")).alias("w"))
+    """doc_id, _id, _key, _text: _id and _key tell texts apart."""
+    return docs.select("doc_id", row_id().alias("_id"), row_key().alias("_key"), F.col("text").alias("_text"))
 
 
-def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """item_id, win (the words of a window), wid (their hash): `size` consecutive words, or a shorter item's all."""
+def windows(benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """Phrases (wid, win: the words of a window) and their owners (wid, item_id), both stored.
+
+    A window is `size` consecutive words of an item, or all words of a shorter one.
+    """
     rows = benchmark.select("item_id", item_words(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0)))
     rows = rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("win"))
-    return rows.select("item_id", "win", F.xxhash64("win").alias("wid")).distinct()
+    rows = materialize(rows.distinct(), "bench-windows")
+    phrases = materialize(rows.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()), "bench-phrases")
+    return phrases, materialize(rows.join(phrases, "win").select("wid", "item_id"), "bench-owners")
+
+
+def tokens(rows: DataFrame) -> DataFrame:
+    """_id, _key, pos, word, term (the word's hash): a row per word of keyed() rows."""
+    rows = rows.select("_id", "_key", F.posexplode(item_words(F.col("_text"))).alias("pos", "word"))
+    return rows.withColumn("term", F.xxhash64("word"))
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term (a word's hash) and cf, its number of occurrences in all documents, for terms that occur."""
-    rows = keyed(docs).select(F.explode("w").alias("word")).select(F.xxhash64("word").alias("term"))
+    """term and cf, its number of occurrences in all documents, for terms that occur."""
+    rows = keyed(docs).select(F.explode(item_words(F.col("_text"))).alias("word")).select(F.xxhash64("word").alias("term"))
     return materialize(rows.join(small(terms, TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("cf")), "bench-frequencies")
 
 
-def anchors(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+def anchors(terms: DataFrame, docs: DataFrame) -> DataFrame:
     """wid, n (words), t1, o1, t2, o2: a phrase's two rarest terms and their offsets; t2 is null in one-word phrases.
 
     A phrase with a term that no document has is left out.
     """
-    terms = phrases.select("wid", F.size("win").alias("n"), F.posexplode("win").alias("off", "word")).select("wid", "n", "off", F.xxhash64("word").alias("term"))
-    terms = materialize(terms, "bench-terms")
     cf = frequencies(docs, terms.select("term").distinct())
     order = Window.partitionBy("wid").orderBy("cf", "off")
     ranked = terms.join(cf, "term").withColumn("rank", F.row_number().over(order))
@@ -54,79 +63,92 @@ def anchors(phrases: DataFrame, docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, _id, _key, pos: the positional index of the documents for these terms, stored in the shared folder."""
-    rows = keyed(docs).select("_id", "_key", F.posexplode("w").alias("pos", "word")).select("_id", "_key", "pos", F.xxhash64("word").alias("term"))
+    rows = tokens(keyed(docs)).select("term", "_id", "_key", "pos")
     return materialize(rows.join(small(terms, TERMS), "term", "left_semi"), "bench-postings")
 
 
-def aligned(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+def near(rows: DataFrame, other: DataFrame, on: list[str], slop: int) -> DataFrame:
+    """The pairs of rows(want, ...) and other(pos, ...) that agree in `on` and lie within `slop` places.
+
+    Places are cut into cells of 2 * slop + 1: what a row wants lies in two cells at most, so both
+    sides meet by equality and no pair is made twice.
+    """
+    width = 2 * slop + 1
+    cell = lambda at: F.floor(at / width)
+    rows = rows.withColumn("cell", F.explode(F.sequence(cell(F.col("want") - slop), cell(F.col("want") + slop))))
+    return rows.join(other.withColumn("cell", cell(F.col("pos"))), [*on, "cell"]).filter(F.abs(F.col("pos") - F.col("want")) <= slop)
+
+
+def aligned(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """_id, _key, wid, n, start: where the lists of a phrase's two rarest terms, less their offsets, meet within `slop`.
 
-    `start` is the first word's place by the rarest term.  With slop the lists meet by buckets of
-    slop + 1 places, each looked up with its two neighbours.
+    `start` is the first word's place by the rarest term.
     """
     one = index.join(small(phrases.withColumnRenamed("t1", "term"), TERMS), "term")
     one = one.select("_id", "_key", "wid", "n", (F.col("pos") - F.col("o1")).alias("start"), "t2", (F.col("pos") - F.col("o1") + F.col("o2")).alias("want"))
-    if not slop:
-        one = one.filter(F.col("start") >= 0)
-    single = one.filter(F.col("t2").isNull())
-    two = index.select(F.col("term").alias("t2"), "_id", "_key", F.col("pos").alias("at"))
-    if slop:
-        place = F.floor(F.col("want") / (slop + 1))
-        one = one.withColumn("place", F.explode(F.array(place - 1, place, place + 1)))
-        both = one.join(two.withColumn("place", F.floor(F.col("at") / (slop + 1))), ["t2", "_id", "_key", "place"]).filter(F.abs(F.col("at") - F.col("want")) <= slop)
-    else:
-        both = one.join(two.withColumnRenamed("at", "want"), ["t2", "_id", "_key", "want"])
     columns = ["_id", "_key", "wid", "n", "start"]
-    return both.select(columns).union(single.select(columns)).distinct()
+    both = near(one.filter("t2 is not null"), index.withColumnRenamed("term", "t2"), ["t2", "_id", "_key"], slop)
+    return both.select(columns).union(one.filter("t2 is null").select(columns)).distinct()
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """_id, _key, wid, n, start: every exact occurrence of phrases(win, wid) in the documents' words.
+def phrase_matches(docs: DataFrame, phrases: DataFrame, slop: int = SLOP) -> DataFrame:
+    """_id, _key, wid, n, start, exact: every match of phrases(wid, win) in the documents' words.
 
-    Candidates come from the index; then the words at each place are compared with the phrase, once
-    per document that has candidates.
+    The lists of the two rarest terms give candidates.  Those of all terms are then read for the
+    documents that have candidates, and intersected with them word by word.  A match has every word of
+    the phrase within `slop` places of where the rarest term puts it; it is exact if all are in place.
     """
-    phrases = phrases.select("win", "wid").dropDuplicates(["wid"])
-    found = anchors(phrases, docs)
-    terms = found.select(F.explode(F.array("t1", "t2")).alias("term")).filter("term is not null").distinct()
-    candidates = materialize(aligned(postings(docs, terms), found), "bench-candidates")
-    few = candidates.limit(CANDIDATES + 1).count() <= CANDIDATES
-    grouped = candidates.groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n", "wid")).alias("found"))
-    grouped = materialize(grouped, "bench-grouped")
-    rows = keyed(docs).drop("doc_id").join(F.broadcast(grouped) if few else grouped, ["_id", "_key"])
-    same = F.filter("found", lambda c: F.xxhash64(F.slice("w", c["start"] + 1, c["n"])) == c["wid"])
-    rows = rows.select("_id", "_key", F.explode(same).alias("c")).select("_id", "_key", "c.wid", "c.n", "c.start").distinct()
+    rows = phrases.select("wid", F.size("win").alias("n"), F.posexplode("win").alias("off", "word"))
+    terms = materialize(rows.withColumn("term", F.xxhash64("word")), "bench-terms")
+    found = anchors(terms, docs)
+    rarest = found.select(F.explode(F.array("t1", "t2")).alias("term")).filter("term is not null").distinct()
+    candidates = materialize(aligned(postings(docs, rarest), found, slop), "bench-candidates")
+    texts = small(candidates.select("_id", "_key").distinct(), CANDIDATES)
+    index = tokens(keyed(docs).join(texts, ["_id", "_key"], "left_semi"))
+    index = index.join(small(terms.select("term").distinct(), TERMS), "term", "left_semi").select("_id", "_key", "word", "pos")
+    want = candidates.join(small(terms.select("wid", "off", "word"), TERMS), "wid").withColumn("want", F.col("start") + F.col("off"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off"))
+    rows = near(want, index, ["_id", "_key", "word"], slop).groupBy("_id", "_key", "wid", "n", "start")
+    rows = rows.agg(F.bit_or(bit).alias("near"), F.bit_or(F.when(F.col("pos") == F.col("want"), bit).otherwise(F.lit(0).cast("long"))).alias("there"))
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
+    rows = rows.filter(F.col("near") == every).select("_id", "_key", "wid", "n", "start", (F.col("there") == every).alias("exact"))
     return materialize(rows, "bench-matches")
 
 
-def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
-    """_id, _key, wid, start: where a phrase's two rarest terms stand within `slop` words of their places in it."""
-    found = anchors(phrases.select("win", "wid").dropDuplicates(["wid"]), docs)
-    terms = found.select(F.explode(F.array("t1", "t2")).alias("term")).filter("term is not null").distinct()
-    return aligned(postings(docs, terms), found, slop).select("_id", "_key", "wid", "start")
+def marked(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: int = 20, slop: int = SLOP) -> DataFrame:
+    """What decontaminate() returns, with _id and _key, which tell rows apart."""
+    if not 1 <= size <= 60:
+        raise ValueError("a window has 1 to 60 words")
+    phrases, owners = windows(benchmark, size)
+    matches = phrase_matches(docs, phrases, slop)
+    hits = matches.filter("exact")
+    before = Window.partitionBy("_id", "_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("n")
+    new = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))))
+    counts = hits.withColumn("new", new).groupBy("_id", "_key").agg(F.sum("new").alias("n_hit"))
+    by_window = matches.groupBy("_id", "_key", "wid").agg(F.max("exact").alias("exact"))
+    near_only = by_window.filter("not exact").groupBy("_id", "_key").agg(F.count("*").alias("n_near"))
+    items = by_window.filter("exact").join(small(owners, TERMS), "wid")
+    items = items.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    per_text = materialize(counts.join(items, ["_id", "_key"], "left").join(near_only, ["_id", "_key"], "full"), "bench-hits")
+    rows = keyed(docs).select("doc_id", "_id", "_key", F.size(item_words(F.col("_text"))).cast("long").alias("n_words"))
+    rows = rows.join(small(per_text, 200_000), ["_id", "_key"], "left").fillna(0, ["n_hit", "n_near"])
+    rows = rows.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return rows.select("doc_id", "_id", "_key", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest, bad.alias("contaminated"), F.col("n_near").cast("long").alias("n_near"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row per row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near: a row per row of docs.
 
-    n_hit counts the words inside any occurrence of a window of the benchmark, overlaps once; a
-    document is contaminated if they are one in `share` of its words or more.
+    n_hit counts the words inside any exact occurrence of a window of the benchmark, overlaps once; a
+    document is contaminated if they are one in `share` of its words or more.  n_near counts the
+    windows that it holds in proximity only: all words, each within `slop` places of its own, but not
+    the phrase.
 
     Nulls: a null text has no words; items with a null text or no words have no windows; a null
     item_id hits but isn't listed; a null doc_id is carried through.  Repeated rows get a row each.
     An empty benchmark leaves every document clean; an empty table gives no rows.
     """
-    owned = materialize(windows(benchmark, size), "bench-windows")
-    hits = phrase_matches(docs, owned)
-    before = Window.partitionBy("_id", "_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.col("n")
-    new = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))))
-    counts = hits.withColumn("new", new).groupBy("_id", "_key").agg(F.sum("new").alias("n_hit"))
-    items = hits.select("_id", "_key", "wid").distinct().join(small(owned.select("wid", "item_id"), TERMS), "wid")
-    items = items.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    per_text = materialize(counts.join(items, ["_id", "_key"]), "bench-hits")
-    rows = keyed(docs).select("doc_id", "_id", "_key", F.size("w").cast("long").alias("n_words"))
-    rows = rows.join(small(per_text, 200_000), ["_id", "_key"], "left")
-    rows = rows.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), bad.alias("contaminated"))
+    return marked(docs, benchmark, **options).drop("_id", "_key")
