@@ -6,17 +6,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import lower_az, materialize, words
-
-#: Dimensions, noise classes and noise words a step, tokens a step.
-DIM, NOISE, INNER, BATCH = 24, 16, 8, 4096
-#: Every word of this count has vectors of its own, and so have the HEAD most frequent ones; rarer words share those of buckets of about FILL tokens.
-FLOOR, HEAD, FILL = 50, 1022, 400
-#: The most frequent words whose counts are broadcast (and all that have vectors); all others' are joined.
+from webrank.llm.common import kth_largest, lower_az, materialize, row_id, row_key, runs, words, worker_memory
+
+#: Dimensions; noise classes and noise words of a token; tokens of a step.
+DIM, NOISE, INNER, BATCH = 16, 48, 48, 1 << 14
+#: Words farther back than two, up to WINDOW, count by their mean.
+WINDOW = 24
+#: A word of this count has vectors of its own, unless more than OWN_MOST words have it: then the OWN_MOST most frequent ones.
+FLOOR, OWN_MOST = 60, 200_000
+#: Rarer words share vectors by the hash of their last SUFFIX characters.
+BUCKETS, SUFFIX = 4096, 3
+#: The most frequent words, about so many at most, whose counts are broadcast; all others' are joined.
 FREQUENT = 200_000
+#: Training tokens of a partition, about; tokens that a worker holds at a time.
+PART, HELD = 6_000_000, 1 << 18
 LN10 = np.log(10.0)
 
 
@@ -24,7 +30,8 @@ LN10 = np.log(10.0)
 class Vocabulary:
     """Counts of the frequent words, sorted by hash, and their symbols; sums over all training tokens.
 
-    The symbols are the words of their own vectors, the buckets of rarer words and the end, by falling count.
+    The symbols are the words with vectors of their own, the buckets of rarer words and the end, by
+    falling count.  The lowest bits of a word's hash are its bucket.
     """
 
     hashes: np.ndarray
@@ -42,7 +49,7 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, symbol) of word hashes: count -1 for words that aren't frequent."""
-        symbol = self.buckets[np.mod(h, len(self.buckets))]
+        symbol = self.buckets[h & (BUCKETS - 1)]
         if not len(self.hashes):
             return np.full(len(h), -1, np.int64), symbol
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -50,65 +57,80 @@ class Vocabulary:
         return np.where(there, self.counts[at], -1), np.where(there, self.symbols[at], symbol)
 
 
+def width_of(n: int) -> int:
+    return max(1, int(np.ceil(np.sqrt(n))))
+
+
 @dataclass
 class Model:
-    """P(w | a, b) = P(class of w | a, b) P(w | its class, a, b), each a softmax of (Q1[b] + Q2[a]) . R[x] + bias[x].
+    """P(w | context) = P(class of w | context) P(w | its class, context), each a softmax of q . r + bias.
 
-    A class is `width` symbols of neighbouring counts; a model of one class is the plain log-bilinear one.
+    The context's vector q is the sum of the word before by one table, the word before that by a
+    second, and the mean of those farther back by a third.  `rows` has, for each symbol and for the
+    start, its three context vectors, its own vector r and its bias; `classes` has r and bias of each
+    class.  A class is `width` symbols of neighbouring counts.
     """
 
-    q1: np.ndarray
-    q2: np.ndarray
-    r: np.ndarray
-    bias: np.ndarray
-    class_r: np.ndarray
-    class_bias: np.ndarray
+    rows: np.ndarray
+    classes: np.ndarray
     width: int
 
     @classmethod
-    def initial(cls, unigram: np.ndarray, dim: int, seed: int = 5, width: int | None = None) -> Model:
+    def initial(cls, unigram: np.ndarray, dim: int = DIM, seed: int = 5, width: int | None = None) -> Model:
         rng, n = np.random.default_rng(seed), len(unigram)
-        width = width or n
-        make = lambda rows: rng.normal(0, 0.1, (rows, dim)).astype(np.float32)
+        width = width or width_of(n)
         mass = class_mass(unigram, width)
-        return cls(make(n + 1), make(n + 1), make(n), np.log(unigram).astype(np.float32), make(len(mass)), np.log(mass).astype(np.float32), width)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.q1, self.q2, self.r, self.bias[:, None], self.class_r, self.class_bias[:, None]]
-
-    def copy(self) -> Model:
-        return Model(*(x.copy() for x in (self.q1, self.q2, self.r, self.bias, self.class_r, self.class_bias)), self.width)
-
-    def normalisers(self, a: np.ndarray, b: np.ndarray, c: int = 0) -> np.ndarray:
-        """log Z of contexts over the symbols of class c."""
-        rows = slice(c * self.width, (c + 1) * self.width)
-        return log_z((self.q1[b] + self.q2[a]), self.r[rows], self.bias[rows])
-
-    def log_probability(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(w | a, b), by matrix products over the classes and over each class's symbols."""
-        order = np.argsort(w // self.width, kind="stable")
-        a, b, w = a[order], b[order], w[order]
-        of = w // self.width
-        q = self.q1[b] + self.q2[a]
-        got = np.einsum("ij,ij->i", q, self.class_r[of]) + self.class_bias[of] - log_z(q, self.class_r, self.class_bias)
-        got += np.einsum("ij,ij->i", q, self.r[w]) + self.bias[w]
-        bounds = [*np.flatnonzero(np.diff(of, prepend=-1)), len(of)]
-        for i, j in zip(bounds, bounds[1:]):
-            rows = slice(of[i] * self.width, (of[i] + 1) * self.width)
-            got[i:j] -= log_z(q[i:j], self.r[rows], self.bias[rows])
-        out = np.empty(len(w), np.float32)
-        out[order] = got
-        return out
-
-
-def log_z(q: np.ndarray, r: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        rows = rng.normal(0, 0.1, (n + 1, 4 * dim + 1)).astype(np.float32)
+        rows[:n, -1], rows[n, -1] = np.log(unigram), 0
+        classes = rng.normal(0, 0.1, (len(mass), dim + 1)).astype(np.float32)
+        classes[:, -1] = np.log(mass)
+        return cls(rows, classes, width)
+
+    @property
+    def dim(self) -> int:
+        return self.classes.shape[1] - 1
+
+    def contexts(self, text: Texts) -> np.ndarray:
+        """q of every token of the texts, and a last column of ones for the bias."""
+        d, s, t = self.dim, text.symbols, text.target
+        q = np.ones((len(t), d + 1), np.float32)
+        q[:, :d] = self.rows[s[t - 1], :d]
+        q[:, :d] += self.rows[s[t - 2], d : 2 * d]
+        far = np.zeros((len(s) + 1, d))
+        np.cumsum(self.rows[s, 2 * d : 3 * d], axis=0, out=far[1:])
+        q[:, :d] += (far[text.to] - far[text.since]) * text.share[:, None]
+        return q
+
+    def log_probability(self, text: Texts) -> np.ndarray:
+        """Natural logarithms of P(w | context) of every token, by matrix products over the classes and over each class's symbols."""
+        q, w, d = self.contexts(text), text.symbols[text.target], self.dim
+        own = np.ascontiguousarray(self.rows[:-1, 3 * d :])
+        of = (w // self.width).astype(np.int32)
+        got = np.einsum("ij,ij->i", q, self.classes[of]) + np.einsum("ij,ij->i", q, own[w])
+        got -= log_z(q, self.classes)
+        order = np.argsort(of.astype(np.uint16) if len(self.classes) < 1 << 16 else of, kind="stable")
+        bounds = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            at = order[i:j]
+            c = of[at[0]] * self.width
+            got[at] -= log_z(q[at], own[c : c + self.width])
+        return got
+
+
+def log_z(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(q . r) over the rows of r; scores are small, and if they aren't, the largest is taken out first."""
     out = np.empty(len(q), np.float32)
-    for i in range(0, len(q), 2048):
-        s = q[i : i + 2048] @ r.T
-        s += bias
-        top = s.max(axis=1, keepdims=True)
-        s -= top
-        out[i : i + 2048] = top[:, 0] + np.log(np.exp(s, out=s).sum(axis=1))
+    step = max(64, (1 << 20) // max(1, len(r)))
+    ones = np.ones(len(r), np.float32)
+    for i in range(0, len(q), step):
+        s = q[i : i + step] @ r.T
+        top = float(np.abs(s).max())
+        if top < 60:
+            out[i : i + step] = np.log(np.exp(s, out=s) @ ones)
+        else:
+            high = s.max(axis=1, keepdims=True)
+            s -= high
+            out[i : i + step] = high[:, 0] + np.log(np.exp(s, out=s) @ ones)
     return out
 
 
@@ -116,90 +138,150 @@ def class_mass(unigram: np.ndarray, width: int) -> np.ndarray:
     return np.add.reduceat(unigram, np.arange(0, len(unigram), width))
 
 
-def trigrams(h: np.ndarray, size: np.ndarray, vocabulary: Vocabulary):
-    """(owner, count, a, b, w, place) of all tokens of texts, ends included; place -1 for an end."""
-    _, symbol = look = vocabulary.look_up(h)
-    owner = np.repeat(np.arange(len(size)), size + 3)
-    base = np.cumsum(size + 3) - (size + 3)
-    padded = np.full(len(owner), vocabulary.start, np.int64)
-    count = np.full(len(owner), -2, np.int64)
-    within = np.arange(len(owner)) - base[owner]
-    inside = (within >= 2) & (within < size[owner] + 2)
-    padded[inside], count[inside] = symbol, look[0]
-    padded[base + size + 2] = vocabulary.end
-    target = np.flatnonzero(within >= 2)
-    place = np.full(len(owner), -1, np.int64)
-    place[inside] = np.arange(len(h))
-    return owner[target], count[target], padded[target - 2], padded[target - 1], padded[target], place[target]
+@dataclass
+class Texts:
+    """Symbols of texts in a row, each with two start symbols before and an end after, and where each token's context lies.
 
+    The mean of farther words covers places since..to - 1 of the same text, `share` being one over their number.
+    """
 
-def up_to(s: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    symbols: np.ndarray
+    target: np.ndarray
+    since: np.ndarray
+    to: np.ndarray
+    share: np.ndarray
+    owner: np.ndarray
+    count: np.ndarray
+    place: np.ndarray
 
+    @classmethod
+    def of(cls, h: np.ndarray, size: np.ndarray, v: Vocabulary) -> Texts:
+        """count is that of the token, -1 if not frequent and -2 for an end; place is that of the word in h, -1 for an end."""
+        count, symbol = v.look_up(h)
+        owner = np.repeat(np.arange(len(size)), size + 3)
+        base = np.cumsum(size + 3) - (size + 3)
+        within = np.arange(len(owner)) - base[owner]
+        inside = (within >= 2) & (within < size[owner] + 2)
+        symbols = np.full(len(owner), v.start, np.int64)
+        symbols[inside] = symbol
+        symbols[base + size + 2] = v.end
+        counts, place = np.full(len(owner), -2, np.int64), np.full(len(owner), -1, np.int64)
+        counts[inside], place[inside] = count, np.arange(len(h))
+        target = np.flatnonzero(within >= 2)
+        return cls.at(symbols, target, base[owner[target]] + 2, owner[target], counts[target], place[target])
+
+    @classmethod
+    def at(cls, symbols: np.ndarray, target: np.ndarray, first: np.ndarray, owner=None, count=None, place=None) -> Texts:
+        to = np.maximum(target - 2, first)
+        since = np.maximum(target - WINDOW, first)
+        return cls(symbols, target, since, to, (1 / np.maximum(to - since, 1)).astype(np.float32), owner, count, place)
+
+    def __len__(self) -> int:
+        return len(self.target)
+
+
+def squash(s: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.clip(s, -30, 30, out=s)
+    np.negative(s, out=s)
+    np.exp(s, out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
 
-class Trainer:
-    """AdaGrad on the noise-contrastive objective of both levels, on the rows that a step touches.
 
-    A step's noise classes are shared by its tokens, and a class's noise words by the class's tokens.
+def spread_back(grad: np.ndarray, text: Texts, n: int) -> np.ndarray:
+    """For each of n places, the sum of the gradients of the tokens whose window of farther words covers it.
+
+    A window adds at its begin and takes away at its end; running sums do the rest.  Begins repeat (all
+    early tokens of a text share one), and so do the ends of tokens too near to a text's begin to have a window.
     """
+    grad = np.where((text.to > text.since)[:, None], grad, 0)
+    steps = np.zeros((n + 1, grad.shape[1]))
+    for at, sign in ((text.since, 1), (text.to, -1)):
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        steps[at[first]] += sign * np.add.reduceat(grad, first, axis=0)
+    return np.cumsum(steps, axis=0)[:-1]
+
+
+def gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of `index`, which may repeat, once each, and the sums of their gradients."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.diff(index, prepend=-1))
+    return index[first], np.add.reduceat(grad[order], first, axis=0)
+
 
-    POOL = 512
+class Trainer:
+    """AdaGrad on the noise-contrastive objective of both levels, with a rate for each vector of a row.
+
+    NOISE noise classes stand against each token's class and INNER noise words of that class against
+    the word.  Noise is not drawn: its expectation is taken over the whole noise distribution, by matrix
+    products that a step's tokens share.
+    """
 
     def __init__(self, model: Model, unigram: np.ndarray, rate: float = 0.1):
-        self.m, self.rate, self.seen = model, rate, 0
-        mass = class_mass(unigram, model.width)
-        of = np.arange(len(unigram)) // model.width
-        self.log_class = np.log(NOISE * mass).astype(np.float32)
-        self.log_noise = np.log(INNER * unigram / mass[of]).astype(np.float32)
-        self.rng = np.random.default_rng(11)
-        self.classes = np.cumsum(mass)
-        ends = np.cumsum(unigram)
-        pool = np.searchsorted(ends, (self.classes - mass)[:, None] + self.rng.random((len(mass), self.POOL)) * mass[:, None])
-        first = np.arange(len(mass))[:, None] * model.width
-        self.pool = np.clip(pool, first, np.minimum(first + model.width, len(unigram)) - 1)
-        self.squares = [np.ones(x.shape, np.float32) for x in model.parts()]
-        self.times = [np.zeros(len(x), np.int64) for x in model.parts()]
-
-    def apply(self, i: int, index: np.ndarray, grad: np.ndarray) -> None:
-        """Add the gradients of the rows of `index`, which may repeat, to part i."""
-        rows, at, n = np.unique(index, return_inverse=True, return_counts=True)
-        width = grad.shape[1]
-        flat = (at[:, None] * width + np.arange(width)).reshape(-1)
-        total = np.bincount(flat, weights=grad.reshape(-1), minlength=len(rows) * width).reshape(-1, width).astype(np.float32)
-        squares = self.squares[i][rows] + total * total
-        self.squares[i][rows] = squares
-        self.m.parts()[i][rows] += self.rate * total / np.sqrt(squares)
-        self.times[i][rows] += n
-
-    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        m = self.m
-        order = np.argsort(w // m.width, kind="stable")
-        a, b, w = a[order], b[order], w[order]
+        self.m, self.rate = model, rate
+        n, width = len(unigram), model.width
+        mass = class_mass(unigram, width)
+        of = np.arange(n) // width
+        self.mass = (NOISE * mass / mass.sum()).astype(np.float32)
+        self.log_class = np.log(self.mass)
+        self.noise = (INNER * unigram / mass[of]).astype(np.float32)
+        self.log_noise = np.log(self.noise)
+        d = model.dim
+        self.blocks = [(i * d, (i + 1) * d) for i in range(4)] + [(4 * d, 4 * d + 1)]
+        self.squares = np.full((n + 1, 5), 0.1, np.float32)
+        self.class_squares = np.full((len(mass), 2), 0.1, np.float32)
+        self.times = np.zeros(n + 1, np.int32)
+
+    def apply(self, table, squares, rows, total: np.ndarray, blocks) -> None:
+        """Add to these rows of a table their gradients, each block by its rate."""
+        for k, (a, b) in enumerate(blocks):
+            part = total[:, a:b]
+            square = squares[rows, k] + np.einsum("ij,ij->i", part, part) / (b - a)
+            squares[rows, k] = square
+            table[rows, a:b] += part * (self.rate / np.sqrt(square))[:, None]
+
+    def step(self, text: Texts) -> None:
+        """One step on the tokens of `text`; its symbols may hold more than these."""
+        m, d, s, t = self.m, self.m.dim, text.symbols, text.target
+        q, w = m.contexts(text), s[t]
         of = w // m.width
-        q = m.q1[b] + m.q2[a]
         dq = np.zeros_like(q)
-        if len(self.classes) > 1:
-            noise = np.minimum(np.searchsorted(self.classes, self.rng.random(NOISE) * self.classes[-1]), len(self.classes) - 1)
-            up = 1 - up_to((q * m.class_r[of]).sum(axis=1) + m.class_bias[of] - self.log_class[of])
-            down = up_to(q @ m.class_r[noise].T + m.class_bias[noise] - self.log_class[noise])
-            dq += up[:, None] * m.class_r[of] - down @ m.class_r[noise]
-            index = np.concatenate([of, noise])
-            self.apply(4, index, np.concatenate([up[:, None] * q, -down.T @ q]))
-            self.apply(5, index, np.concatenate([up, -down.sum(axis=0)])[:, None])
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
-        noise = self.pool[of[first][:, None], self.rng.integers(0, self.POOL, (len(first), INNER))]
-        r = m.r[noise][at]
-        up = 1 - up_to((q * m.r[w]).sum(axis=1) + m.bias[w] - self.log_noise[w])
-        down = up_to(np.matmul(r, q[:, :, None])[:, :, 0] + (m.bias[noise] - self.log_noise[noise])[at])
-        dq += up[:, None] * m.r[w] - np.matmul(down[:, None, :], r)[:, 0]
-        dr = np.add.reduceat(down[:, :, None] * q[:, None, :], first, axis=0)
-        index = np.concatenate([w, noise.reshape(-1)])
-        self.apply(2, index, np.concatenate([up[:, None] * q, -dr.reshape(-1, q.shape[1])]))
-        self.apply(3, index, np.concatenate([up, -np.add.reduceat(down, first, axis=0).reshape(-1)])[:, None])
-        self.apply(0, b, dq)
-        self.apply(1, a, dq)
-        self.seen += len(w)
+        if len(self.mass) > 1:
+            up = 1 - squash(np.einsum("ij,ij->i", q, m.classes[of]) - self.log_class[of])
+            down = squash(q @ m.classes.T - self.log_class) * self.mass
+            dq += up[:, None] * m.classes[of]
+            dq -= down @ m.classes
+            rows, total = gathered(of, up[:, None] * q)
+            minus = -(down.T @ q)
+            minus[rows] += total
+            self.apply(m.classes, self.class_squares, slice(None), minus, [(0, d), (d, d + 1)])
+        grad = np.zeros((len(s), 4 * d + 1), np.float32)
+        own = m.rows[:, 3 * d :]
+        up = 1 - squash(np.einsum("ij,ij->i", q, own[w]) - self.log_noise[w])
+        dq += up[:, None] * own[w]
+        grad[t, 3 * d :] = up[:, None] * q
+        order = np.argsort(of.astype(np.uint16) if len(self.mass) < 1 << 16 else of, kind="stable")
+        bounds = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
+        minus = np.zeros((len(own), d + 1), np.float32)
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            at = order[i:j]
+            c = slice(of[at[0]] * m.width, min((of[at[0]] + 1) * m.width, len(self.noise)))
+            r, qk = own[c], q[at]
+            down = squash(qk @ r.T - self.log_noise[c]) * self.noise[c]
+            dq[at] -= down @ r
+            minus[c] = down.T @ qk
+        dq = dq[:, :d]
+        grad[t - 1, :d] += dq
+        grad[t - 2, d : 2 * d] += dq
+        grad[:, 2 * d : 3 * d] = spread_back(dq * text.share[:, None], text, len(s))
+        rows, total = gathered(s, grad)
+        self.apply(m.rows, self.squares, rows, total[:, : 3 * d], self.blocks[:3])
+        minus = -minus
+        minus[rows] += total[:, 3 * d :]
+        self.apply(own, self.squares[:, 3:], slice(None), minus, [(0, d), (d, d + 1)])
+        np.add.at(self.times, s, 1)
 
 
 def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -207,47 +289,72 @@ def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64)
 
 
-def groups(batch: pa.RecordBatch, most: int = 1 << 19):
-    """Slices of a batch of at most `most` tokens, or of one text, which bound what a step of a worker holds."""
-    ends, i = batch.column("h").offsets.to_numpy(), 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, side="right")) - 1)
-        yield batch.slice(i, j - i)
-        i = j
+def groups(batches, most: int):
+    """Slices of batches of about `most` tokens, or of one text, which bound what a worker holds."""
+    for batch in batches:
+        for i, j in runs(np.diff(batch.column("h").offsets.to_numpy()).tolist(), most):
+            yield batch.slice(i, j - i)
+
+
+def held_out() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, h: the words' hashes of every row; a null doc_id counts as training."""
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").select("doc_id", "held_out", F.transform(words(lower_az(F.coalesce("text", F.lit("")))), lambda w: F.xxhash64(w)).alias("h"))
+    """doc_id, held_out, _deal, h: the words' hashes of every row; a null doc_id counts as training.
+
+    A hash's lowest bits are a hash of the word's last SUFFIX characters, the bucket of a rare word.
+    """
+
+    def code(w: Column) -> Column:
+        return F.xxhash64(w).bitwiseAND(F.lit(-BUCKETS)).bitwiseOR(F.xxhash64(F.right(w, F.lit(SUFFIX))).bitwiseAND(F.lit(BUCKETS - 1)))
+
+    text = words(lower_az(F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", held_out().alias("held_out"), F.xxhash64(row_id(), row_key()).alias("_deal"), F.transform(text, code).alias("h"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(tokens: DataFrame) -> DataFrame:
     """h, c: the count of every word (by hash) in the training documents, stored in the shared folder."""
-    rows = docs.select(words(lower_az(F.coalesce("text", F.lit("")))).alias("w"), "doc_id")
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
-    rows = rows.filter(~held).select(F.explode("w").alias("w")).select(F.xxhash64("w").alias("h"))
-    return materialize(rows.groupBy("h").agg(F.count("*").alias("c")), "lm-counts")
+
+    def work(batches):
+        worker_memory("lm")
+        for batch in groups(batches, 1 << 19):
+            h, c = np.unique(flat_lists(batch.column("h"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], names=["h", "n"])
+
+    rows = tokens.filter("not held_out").select("h").mapInArrow(work, "h long, n long")
+    return materialize(rows.groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count that at most about `most` words have: those of the next higher one fit."""
+    cut = kth_largest(counts.select(F.col("c").cast("double").alias("c")), "c", most + 1)
+    return 1 if cut is None else int(cut)
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
-    """Ends are counted as a word of their own, one a training document."""
-    n, v, own = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") >= FLOOR, 1))).first()
-    own = max(own, min(HEAD, v))
-    top = counts.orderBy(F.col("c").desc(), "h").limit(max(FREQUENT, own)).toPandas()
-    h, c = top.h.to_numpy(np.int64), top.c.to_numpy(np.int64)
-    n_buckets = max(1, int(n - c[:own].sum()) // FILL)
-    rare = counts.filter((F.col("c") < int(c[own - 1])) | ((F.col("c") == int(c[own - 1])) & (F.col("h") > int(h[own - 1])))) if own else counts
-    rare = rare.groupBy(F.pmod("h", F.lit(n_buckets)).alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-    rare_n, rare_v = np.zeros(n_buckets), np.zeros(n_buckets)
-    rare_n[rare.b.to_numpy(np.int64)], rare_v[rare.b.to_numpy(np.int64)] = rare.n, rare.v
+    """Ends are counted as a word of their own, one a training document.
+
+    Words come to the driver by a threshold on their count that at most FREQUENT (or OWN_MOST) pass.
+    """
+    n, v, above, own_n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") > 1, 1)), F.count(F.when(F.col("c") >= FLOOR, 1))).first()
+    floor = FLOOR if own_n <= OWN_MOST else least_count(counts, OWN_MOST) + 1
+    frequent = 1 if v <= FREQUENT else 2 if above <= FREQUENT else least_count(counts, FREQUENT) + 1
+    top = counts.filter(F.col("c") >= min(floor, frequent)).toArrow()
+    h, c = top["h"].to_numpy(), top["c"].to_numpy()
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
+    own = int((c >= floor).sum())
+    rare = counts.filter(F.col("c") < floor).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
+    rare_n, rare_v = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rare_n[rare["b"].to_numpy()], rare_v[rare["b"].to_numpy()] = rare["n"].to_numpy(), rare["v"].to_numpy()
     sizes = np.concatenate([c[:own], rare_n, [n_docs]])
     by_count = np.argsort(-sizes, kind="stable")
     symbol = np.empty(len(sizes), np.int64)
     symbol[by_count] = np.arange(len(sizes))
     bottoms = np.concatenate([np.zeros(own), rare_n + 0.5 * (rare_v + 1), [0]])[by_count]
     buckets = symbol[own:-1]
-    symbols = buckets[np.mod(h, n_buckets)]
+    symbols = buckets[h & (BUCKETS - 1)]
     symbols[:own] = symbol[:own]
     order = np.argsort(h)
     totals = {"n": float(n + n_docs), "v": float(v + (n_docs > 0)), "end": float(n_docs)}
@@ -259,75 +366,86 @@ def unigram(v: Vocabulary) -> np.ndarray:
     return n / n.sum()
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = 1) -> Model:
-    """The model after `rounds` passes over all training documents.
+def learn(batches, v: Vocabulary, model: Model) -> Trainer:
+    """Train on all tokens of Arrow batches of h, in their order, by steps of about BATCH tokens, each of whole texts' parts."""
+    trainer = Trainer(model, unigram(v))
+    for batch in groups(batches, BATCH):
+        text = Texts.of(*flat_lists(batch.column("h")), v)
+        for i in range(0, len(text), 2 * BATCH):  # one text may be long
+            part = slice(i, min(i + 2 * BATCH, len(text)))
+            low = int(min(text.since[part].min(), text.target[part.start] - 2))
+            high = int(text.target[part.stop - 1]) + 1
+            trainer.step(Texts(text.symbols[low:high], text.target[part] - low, text.since[part] - low, text.to[part] - low, text.share[part], None, None, None))
+    return trainer
+
+
+def train(tokens: DataFrame, v: Vocabulary, rounds: int = 1) -> Model:
+    """The model after `rounds` passes over all training documents of hashed() rows.
 
-    Each partition trains from the same start over all of its tokens; a parameter row is averaged by
-    its uses over the partitions that used it as a grouped sum, so only one model comes to the driver.
+    Documents are dealt by a hash of the row to partitions of about PART tokens, in the order of the
+    hash, so neither files nor the cluster decide the result.  Each partition trains from the same
+    start over all of its tokens; a symbol's row is averaged by its uses over the partitions that met it
+    as a grouped sum, so only one model comes to the driver.
     """
-    first = Model.initial(unigram(v), DIM, width=int(np.ceil(np.sqrt(v.start))))
-    names = [f"x{i}" for i in range(DIM + 1)]
-    rows = hashed(docs).filter("not held_out").select("h")
+    first = Model.initial(unigram(v))
+    width = first.rows.shape[1]
+    names = [f"x{i}" for i in range(width)]
+    parts = max(1, round(v.totals["n"] / PART))
+    rows = tokens.filter("not held_out").repartition(parts, "_deal").sortWithinPartitions("_deal").select("h")
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((v, first))
+        shared = tokens.sparkSession.sparkContext.broadcast((v, first))
 
         def work(batches, shared=shared):
+            worker_memory("lm")
             v, start = shared.value
-            model = start.copy()
-            trainer, left = Trainer(model, unigram(v)), None
-            for batch in (group for whole in batches for group in groups(whole)):
-                h, size = flat_lists(batch.column("h"))
-                _, _, a, b, w, _ = trigrams(h, size, v)
-                if left is not None:
-                    a, b, w = (np.concatenate(x) for x in zip(left, (a, b, w)))
-                whole = len(w) // BATCH * BATCH
-                for i in range(0, whole, BATCH):
-                    trainer.step(a[i : i + BATCH], b[i : i + BATCH], w[i : i + BATCH])
-                left = (a[whole:], b[whole:], w[whole:])
-            if left is not None and len(left[2]):
-                trainer.step(*left)
-            base = 0
-            for x, bias, times in ((model.q1, None, trainer.times[0]), (model.q2, None, trainer.times[1]), (model.r, model.bias, trainer.times[2]), (model.class_r, model.class_bias, trainer.times[4])):
-                used = np.flatnonzero(times)
-                for i in range(0, len(used), 1 << 16):
-                    u = used[i : i + (1 << 16)]
-                    columns = [*(x[u, k] for k in range(DIM)), bias[u] if bias is not None else np.zeros(len(u), np.float32)]
-                    yield pa.RecordBatch.from_arrays([pa.array((base + u).astype(np.int32)), pa.array(times[u]), *map(pa.array, columns)], names=["i", "n", *names])
-                base += len(x)
+            model = Model(start.rows.copy(), start.classes.copy(), start.width)
+            trainer = learn(batches, v, model)
+            classes = np.zeros((len(model.classes), width), np.float32)
+            classes[:, : model.classes.shape[1]] = model.classes
+            times = np.concatenate([trainer.times, np.full(len(classes), max(1, trainer.times.sum()))])
+            for base, table in ((0, model.rows), (len(model.rows), classes)):
+                used = np.flatnonzero(times[base : base + len(table)])
+                for i in range(0, len(used), 1 << 13):
+                    u = used[i : i + (1 << 13)]
+                    yield pa.RecordBatch.from_arrays([pa.array((base + u).astype(np.int32)), pa.array(times[base + u].astype(np.int64)), *map(pa.array, np.ascontiguousarray(table[u].T))], names=["i", "n", *names])
 
         sums = rows.mapInArrow(work, "i int, n long, " + ", ".join(f"{x} float" for x in names))
-        got = sums.groupBy("i").agg(*((F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in names)).toPandas()
-        first, at, x, base = first.copy(), got["i"].to_numpy(np.int64), got[names].to_numpy(np.float32), 0
-        for part, bias in ((first.q1, None), (first.q2, None), (first.r, first.bias), (first.class_r, first.class_bias)):
-            here = (at >= base) & (at < base + len(part))
-            part[at[here] - base] = x[here, :DIM]
-            if bias is not None:
-                bias[at[here] - base] = x[here, DIM]
-            base += len(part)
+        got = sums.groupBy("i").agg(*((F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in names)).toArrow()
+        at = got["i"].to_numpy()
+        first = Model(first.rows.copy(), first.classes.copy(), first.width)
+        own, n = at < len(first.rows), len(first.rows)
+        for k, x in enumerate(names):
+            column = got[x].to_numpy()
+            first.rows[at[own], k] = column[own]
+            if k < first.classes.shape[1]:
+                first.classes[at[~own] - n, k] = column[~own]
+        shared.unpersist()
     return first
 
 
-def scored(docs: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base, score, n_rare, unknown (h, tf arrays): all but the words that aren't FREQUENT.
+def scored(tokens: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base, score, uh, utf (h, tf arrays): all but the words that aren't frequent.
 
-    base and score lack what belongs to the words of `unknown`, whose counts must be joined.
+    base and score lack what belongs to the words of `uh`, whose counts must be joined.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((v, model))
-    t = v.totals
-    base_bottom = t["n"] + 0.5 * (t["v"] + 1)
+    shared = tokens.sparkSession.sparkContext.broadcast((v, model))
 
     def work(batches):
+        worker_memory("lm")
         v, m = shared.value
         bottom_log = np.log10(np.where(v.bottoms > 0, v.bottoms, 1.0))
         end_log = np.log10(v.totals["end"] + 0.5)
-        for batch in (group for whole in batches for group in groups(whole)):
+        base_log = np.log10(v.totals["n"] + 0.5 * (v.totals["v"] + 1))
+        for batch in groups(batches, HELD):
             h, size = flat_lists(batch.column("h"))
-            owner, count, a, b, w, place = trigrams(h, size, v)
-            docs_n = len(size)
+            text = Texts.of(h, size, v)
+            w, owner, count, docs_n = text.symbols[text.target], text.owner, text.count, len(size)
             token = np.empty(len(w))
-            for i in range(0, len(w), 1 << 18):
-                s = slice(i, i + (1 << 18))
-                token[s] = m.log_probability(a[s], b[s], w[s])
+            for i in range(0, len(w), HELD):
+                j = min(i + HELD, len(w))
+                low = int(min(text.since[i:j].min(), text.target[i] - 2))
+                part = Texts(text.symbols[low : text.target[j - 1] + 1], text.target[i:j] - low, text.since[i:j] - low, text.to[i:j] - low, text.share[i:j], None, None, None)
+                token[i:j] = m.log_probability(part)
             token /= LN10
             known = count > 0
             log_c = np.where(known, np.log10(np.maximum(count, 1) + 0.5), np.where(count == -2, end_log, 0.0))
@@ -336,38 +454,38 @@ def scored(docs: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
             n_tokens = np.bincount(owner, minlength=docs_n)
             n_known = sums(known) + (v.totals["end"] > 0)
             lost = np.flatnonzero(count == -1)
-            order = lost[np.lexsort((h[place[lost]], owner[lost]))]
-            lh, lo = h[place[order]], owner[order]
+            order = lost[np.lexsort((h[text.place[lost]], owner[lost]))]
+            lh, lo = h[text.place[order]], owner[order]
             first = np.ones(len(order), bool)
             first[1:] = (lh[1:] != lh[:-1]) | (lo[1:] != lo[:-1])
             at = np.flatnonzero(first)
             tf = np.diff(np.append(at, len(order)))
             ends = np.concatenate([[0], np.cumsum(np.bincount(lo[at], minlength=docs_n))]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (lh[at].astype(np.int64), tf.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(sums(log_c) - n_tokens * np.log10(base_bottom)), pa.array(sums(token)), *lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "uh", "utf"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(sums(log_c) - n_tokens * base_log), pa.array(sums(token)), *lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "uh", "utf"])
 
-    return hashed(docs).mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, uh array<long>, utf array<int>")
+    return tokens.select("doc_id", "held_out", "h").mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, uh array<long>, utf array<int>")
 
 
 def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs.
 
     score is the log10 probability of a text: the log-bilinear model's for the symbols of its tokens
-    (every word of FLOOR occurrences or among the HEAD most frequent, the end, and buckets by hash for
-    all others), and for a word of a bucket also that of the word in it, (c + 0.5) / (n + 0.5 * (v + 1))
-    by its count.  Words with vectors and buckets grow in number with the corpus.
+    (every word of FLOOR occurrences, the end, and buckets by the last characters for rarer words), and
+    for a word of a bucket also that of the word in it, (c + 0.5) / (n + 0.5 * (v + 1)) by its count.
+    Words with vectors grow in number with the corpus, up to OWN_MOST, which bounds the model in memory.
 
-    Counts cover all training documents.  Those of the FREQUENT words, and of all with
-    vectors of their own, are broadcast; other words of a text leave as (hash, frequency) and meet their counts in a join.
+    Counts cover all training documents.  Those of the FREQUENT words, and of all with vectors of
+    their own, are broadcast; other words of a text leave as (hash, frequency) and meet their counts in a join.
 
     Nulls: a null text is empty and has its end alone; a null doc_id counts as training.  Repeated
     rows get a row each.  Without training documents all words are unknown; an empty table gives no rows.
     """
-    counts = word_counts(docs)
-    n_docs = hashed(docs.select("doc_id", F.lit("").alias("text"))).filter("not held_out").count()
-    v = vocabulary(counts, n_docs)
-    rows = materialize(scored(docs, v, train(docs, v, rounds)).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    tokens = materialize(hashed(docs), "lm-tokens")
+    counts = word_counts(tokens)
+    v = vocabulary(counts, tokens.filter("not held_out").count())
+    rows = materialize(scored(tokens, v, train(tokens, v, rounds)).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
     lost = rows.select("_row", F.explode(F.arrays_zip("uh", "utf")).alias("u")).select("_row", F.col("u.uh").alias("h"), F.col("u.utf").alias("tf"))
-    lost = lost.join(counts, "h", "left").groupBy("_row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum("tf").alias("n"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("known"))
+    lost = lost.join(counts, "h", "left").groupBy("_row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("known"))
     out = rows.drop("uh", "utf").join(lost, "_row", "left").fillna(0, ["more", "known"])
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(int(v.totals["n"])).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"))
