@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import materialize, worker_memory
+from webrank.llm.common import materialize, runs, worker_memory
 
 CAPACITY = 4096
 END = 1
@@ -106,18 +106,6 @@ class Encoder(dict):
         return out
 
 
-def groups(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs (from, to) of texts of about `most` characters, whose words are held together."""
-    start = held = end = 0
-    for end, size in enumerate(sizes, 1):
-        held += size
-        if held > most:
-            yield start, end
-            start, held = end, 0
-    if start < end:
-        yield start, end
-
-
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, row, piece, start, length, ids: the pieces of every row of docs.
 
@@ -129,7 +117,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            for start, to in groups(pc.utf8_length(batch.column("text")).to_pylist()):
+            for start, to in runs(pc.utf8_length(batch.column("text")).to_pylist()):
                 part = batch.slice(start, to - start)
                 ids, ends = encoder.encode(part.column("text"))
                 ids = np.insert(ids, ends, END)
@@ -203,48 +191,53 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 20_000, rounds: int = 3) -> DataFrame:
-    """row, piece, sequence_id, offset and bins, bound (of the piece's partition) for pieces(row, piece, length).
+    """row, piece, sequence_id, offset and round, bins, bound (of the partition that placed it) for pieces(row, piece, length).
 
     Pieces of full length are sequences by themselves.  The rest is dealt by hash to partitions of
     about `per_partition` pieces, each packed best-fit decreasing and compared with its lower bound.
-    A partition that meets its bound is certified, and done.  From one that doesn't, the fullest
-    sequences stay and the others' pieces are exchanged: dealt anew among such partitions and packed
-    again, for at most `rounds` rounds.  A partition holds the lengths of a bounded number of pieces.
+    A partition that meets its bound is certified, and done.  From those that don't, the fullest
+    sequences stay and the others' pieces are exchanged: dealt anew among all such partitions and
+    packed again, for at most `rounds` rounds.  A round that needs more sequences than it took apart is
+    undone, and ends the exchange.  A partition holds the lengths of a bounded number of pieces.
     """
-    full = pieces.filter(F.col("length") >= capacity).select("row", "piece", F.lit(-1).alias("round"), F.lit(0).alias("part"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("bins"), F.lit(0).cast("long").alias("bound"))
-    left, done = pieces.filter(F.col("length") < capacity).select("row", "piece", "length"), []
+    nothing = F.lit(0).cast("long")
+    columns = ["row", "piece", "round", "part", "bin", "offset", "bins", "bound"]
+    out = pieces.filter(F.col("length") >= capacity).select("row", "piece", F.lit(-1).alias("round"), F.lit(0).alias("part"), F.monotonically_increasing_id().alias("bin"), nothing.alias("offset"), nothing.alias("bins"), nothing.alias("bound"))
+    schema = "row long, piece int, length long, round int, part int, bin long, offset long, bins long, bound long, again boolean"
 
-    def run(round_: int, last: bool):
+    def run(round_: int):
         def work(rows: pd.DataFrame) -> pd.DataFrame:
             sizes = rows.length.to_numpy(np.int64)
             bins, offsets, n = best_fit_decreasing(sizes, capacity)
             bound = lower_bound(sizes, capacity)
             rows = rows.assign(bin=bins, offset=offsets, bins=n, bound=bound, round=round_, again=False)
-            if n > bound and not last:
+            if n > bound and round_ < rounds - 1:
                 filled = np.bincount(bins, weights=sizes, minlength=n)
                 rows["again"] = (filled < capacity * 0.98)[bins]
             return rows[["row", "piece", "length", "round", "part", "bin", "offset", "bins", "bound", "again"]]
 
         return work
 
-    schema = "row long, piece int, length long, round int, part int, bin long, offset long, bins long, bound long, again boolean"
+    def used(rows: DataFrame) -> int:
+        return rows.select("part", "bin").distinct().count()
+
+    left, held = pieces.filter(F.col("length") < capacity).select("row", "piece", "length"), None
     for round_ in range(rounds):
         n = left.count()
         if not n:
             break
         parts = -(-n // per_partition)
-        last = round_ == rounds - 1 or parts == 1
         rows = left.withColumn("part", F.pmod(F.xxhash64("row", "piece", F.lit(round_)), F.lit(parts)).cast("int"))
-        rows = rows.groupBy("part").applyInPandas(run(round_, last), schema)
-        rows = materialize(rows, "packed")
-        done.append(rows.filter(~F.col("again")))
-        left = rows.filter("again").select("row", "piece", "length")
-    columns = ["row", "piece", "round", "part", "bin", "offset", "bins", "bound"]
-    out = full.select(columns)
-    for rows in done:
-        out = out.unionByName(rows.select(columns))
+        rows = materialize(rows.groupBy("part").applyInPandas(run(round_), schema), "packed")
+        if held is not None and used(rows) > used(held):
+            break
+        out = out.unionByName(rows.filter(~F.col("again")).select(columns))
+        held = rows.filter("again")
+        left = held.select("row", "piece", "length")
+    if held is not None:
+        out = out.unionByName(held.select(columns))
     numbered = (F.col("part").cast("long") * (2 * per_partition) + F.col("bin")) * rounds + F.col("round")
-    return out.withColumn("sequence_id", F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise(numbered)).select("row", "piece", "sequence_id", "offset", "bins", "bound")
+    return out.withColumn("sequence_id", F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise(numbered)).select("row", "piece", "sequence_id", "offset", "round", "bins", "bound")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
@@ -256,8 +249,11 @@ def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each row of docs goes.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, round, bins, bound: where each piece of each row of docs goes.
 
+    bins is the number of sequences of the partition that placed the piece, in the exchange's `round`,
+    and bound its lower bound: where they are equal, no packing of the partition has fewer sequences.
+    A piece of full length is placed in round -1, with 0 for both.
     Token ids are written nowhere: their checksums and lengths are made as the texts are read, and only
     those narrow rows are stored and joined.  See tokenise() for nulls; an empty table gives no rows.
     """
@@ -265,4 +261,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     narrow = pieces.select("doc_id", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     narrow = materialize(narrow, "pieces")
     out = narrow.join(pack(narrow, capacity), ["row", "piece"])
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "bins", "bound")
