@@ -7,14 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import LOWER, UPPER, materialize
+from webrank.llm.common import LOWER, UPPER, materialize, runs
 
-#: Characters that the models tell apart; any other, and the ends, are one more.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-"
-A = len(ALPHABET) + 1
-ORDER = 3
-CODES = np.full(256, A - 1, dtype=np.int64)
-CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(A - 1)
+#: Longest context of a character; a context counts if it has been seen FEWEST times, else the next shorter one does.
+ORDER, FEWEST = 6, 4
+#: Cells of each order's table; longer contexts are hashed to them.
+CELLS = 1 << 18
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,64 +33,97 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*found)
 
 
-def cells(urls: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of every character of the URLs, an end mark included; a cell is a character after its ORDER predecessors."""
-    data = [x.lower().encode("utf-8", "replace") for x in urls]
-    size = np.array([len(x) + 1 + ORDER for x in data], dtype=np.int64)
-    if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def cells(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, contexts, characters) of every byte of the URLs, an end mark included.
+
+    contexts[k] is the cell of the k bytes before, and characters[k] that of them and the byte itself.
+    A context doesn't reach beyond a URL's begin, which is a mark like the end.
+    """
+    size = np.array([len(x) + 1 + ORDER for x in urls], dtype=np.int64)
     pad = b"\xff" * ORDER
-    codes = CODES[np.frombuffer(b"".join(pad + x + b"\xff" for x in data), dtype=np.uint8)]
-    cell = np.zeros(len(codes), np.int64)
-    for back in range(ORDER, -1, -1):
-        cell = cell * A
-        cell[back:] += codes[: len(codes) - back]
-    row = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size) >= ORDER
-    return row[inside], cell[inside]
+    code = np.frombuffer(b"".join(pad + x + b"\xff" for x in urls), dtype=np.uint8).astype(np.uint64)
+    inside = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) >= ORDER
+    row = np.repeat(np.arange(len(size)), size)[inside]
+    contexts = np.zeros((ORDER + 1, int(inside.sum())), np.int64)
+    characters = np.zeros_like(contexts)
+    mixed = np.zeros(len(code), np.uint64)
+    for k in range(ORDER + 1):
+        if k:
+            back = np.zeros(len(code), np.uint64)
+            back[k:] = code[:-k]
+            mixed = (mixed + back + np.uint64(1)) * PRIME
+            mixed ^= mixed >> np.uint64(29)
+        contexts[k] = (mixed[inside] >> np.uint64(7)) % np.uint64(CELLS)
+        both = (mixed + (code + np.uint64(257))) * PRIME
+        both ^= both >> np.uint64(31)
+        characters[k] = both[inside] % np.uint64(CELLS)
+    return row, contexts, characters
+
+
+def in_parts(urls: pd.Series):
+    """(from, to, bytes of the lower-cased URLs) for runs of URLs of about a quarter of a million characters."""
+    data = [x.lower().encode("utf-8", "replace") for x in urls]
+    for start, to in runs(map(len, data), 1 << 18):
+        yield start, to, data[start:to]
 
 
-def log_model(counts: np.ndarray, beta: float) -> np.ndarray:
-    """log P(character | ORDER predecessors): each order is smoothed by beta pseudo-counts of the next shorter one."""
-    p: np.ndarray = np.full(A, 1.0 / A)
-    full = counts.reshape((A,) * (ORDER + 1)).astype(float)
-    for order in range(ORDER + 1):
-        n = full.sum(axis=tuple(range(ORDER - order)))
-        p = (n + beta * p) / (n.sum(axis=-1, keepdims=True) + beta)
-    return np.log(p).reshape(-1)
+def log_probability(contexts: np.ndarray, characters: np.ndarray, seen: np.ndarray, beta: float) -> np.ndarray:
+    """log P(character | what is before it), of every character.
 
+    seen[0] counts contexts and seen[1] characters after them, by order and cell.  From the shortest
+    context on, each that was seen FEWEST times is smoothed by beta pseudo-counts of the next shorter
+    one's probability; the first that wasn't ends the walk, so each character has its own order.
+    """
+    p = np.full(contexts.shape[1], 1 / 256)
+    going = np.ones(contexts.shape[1], bool)
+    for k in range(ORDER + 1):
+        n = seen[0, k][contexts[k]]
+        going &= n >= FEWEST
+        p = np.where(going, (seen[1, k][characters[k]] + beta * p) / (n + beta), p)
+    return np.log(p)
 
-def fit(urls: DataFrame, beta: float) -> np.ndarray:
-    """log P_accepted - log P_rejected of every cell, from urls(url, accepted).
+
+def fit(urls: DataFrame) -> np.ndarray:
+    """Counts by class (rejected, accepted), kind (context, character), order and cell, from urls(url, accepted).
 
     Counts cover all rows; a partition sends one row for each cell it has seen, so what meets is
-    bounded by A ** (ORDER + 1) = 2.56 million cells a class at any input size.
+    bounded by 4 * (ORDER + 1) * CELLS = 7.3 million counts at any input size.
     """
+    shape = (2, 2, ORDER + 1, CELLS)
 
     def count(batches):
-        total = np.zeros((2, A ** (ORDER + 1)), np.int64)
+        total = np.zeros(shape, np.int64)
         for batch in batches:
-            row, cell = cells(batch.url)
-            np.add.at(total, (batch.accepted.to_numpy().astype(np.int64)[row], cell), 1)
-        side, cell = np.nonzero(total)
-        yield pd.DataFrame({"side": side, "cell": cell, "n": total[side, cell]})
-
-    rows = urls.mapInPandas(count, "side long, cell long, n long").groupBy("side", "cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, A ** (ORDER + 1)))
-    counts[rows.side.to_numpy(np.int64), rows.cell.to_numpy(np.int64)] = rows.n.to_numpy(float)
-    return (log_model(counts[1], beta) - log_model(counts[0], beta)).astype(np.float32)
-
-
-def scored(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """rows with `score`: the mean of the ratio over a URL's characters; null for a null url."""
-    shared = rows.sparkSession.sparkContext.broadcast(ratio)
+            accepted = batch.accepted.to_numpy().astype(bool)
+            for start, to, data in in_parts(batch.url):
+                row, *both = cells(data)
+                good = accepted[start:to][row]
+                for side in (0, 1):
+                    for kind in (0, 1):
+                        for k in range(ORDER + 1):
+                            total[side, kind, k] += np.bincount(both[kind][k][good == side], minlength=CELLS)
+        cell = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cell, "n": total.reshape(-1)[cell]})
+
+    rows = urls.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(shape, np.float32)
+    counts.reshape(-1)[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def scored(rows: DataFrame, counts: np.ndarray, beta: float) -> DataFrame:
+    """rows with `score`: the mean of log P_accepted - log P_rejected over a URL's characters; null for a null url."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def add(batches):
         for batch in batches:
-            row, cell = cells(batch.url.fillna(""))
-            n = np.bincount(row, minlength=len(batch))
-            total = np.bincount(row, weights=shared.value[cell], minlength=len(batch))
-            yield batch.assign(score=pd.Series(total / np.maximum(n, 1), index=batch.index).where(batch.url.notna()))
+            scores = []
+            for _, _, data in in_parts(batch.url.fillna("")):
+                row, contexts, characters = cells(data)
+                ratio = log_probability(contexts, characters, shared.value[1], beta) - log_probability(contexts, characters, shared.value[0], beta)
+                scores.append(np.bincount(row, weights=ratio, minlength=len(data)) / np.bincount(row, minlength=len(data)))
+            score = np.concatenate(scores) if scores else np.zeros(0)
+            yield batch.assign(score=pd.Series(score, index=batch.index).where(batch.url.notna()))
 
     names = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
     return rows.mapInPandas(add, f"{names}, score double")
@@ -119,7 +151,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], beta: float = 4.
 
     URLs that a rule decides train the models: accepted ones one, rejected ones the other.  A fifth
     of them, chosen by a hash of the URL, is held out and calibrates the threshold.  A URL without a
-    rule is allowed if its mean log-likelihood difference a character reaches the threshold.
+    rule is allowed if its mean log-likelihood difference a character, of two variable-order Markov
+    models, reaches the threshold.
 
     Nulls: a null url, or one without ://, has an empty host and path; a null url without a rule has
     no score and is blocked.  Without rules of both kinds the ratio is one-sided and the threshold 0.
@@ -131,8 +164,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], beta: float = 4.
     rows = rows.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("_verdict"))
     rows = rows.withColumn("_held", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0)
     known = rows.filter(F.col("_verdict").isNotNull()).withColumn("accepted", F.col("_verdict") == "allow")
-    ratio = fit(known.filter(~F.col("_held")).select("url", "accepted"), beta)
-    out = materialize(scored(rows, ratio), "url-scores")
+    counts = fit(known.filter(~F.col("_held")).select("url", "accepted"))
+    out = materialize(scored(rows, counts, beta), "url-scores")
     held = out.filter(F.col("_held") & F.col("_verdict").isNotNull())
     threshold = calibrate(held.select("score", (F.col("_verdict") == "allow").alias("accepted")))
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
