@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import lower_az, materialize, small, words, worker_memory
+from webrank.llm.common import lower_az, materialize, runs, small, words, worker_memory
 
 REGISTERS, ROWS = 128, 4
 EMPTY = np.uint32(0xFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Elements whose ranks are drawn at a time.
 CHUNK = 400_000
-#: Members of a bucket whose pairs are made as rows; members compared at a time in larger buckets.
-SMALL, BLOCK = 32, 1024
+#: Members of a bucket whose pairs are made as rows; members and shingles of a block in larger buckets.
+SMALL, BLOCK, ELEMENTS = 32, 1024, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,10 +94,13 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def each_list(column: pa.Array) -> list[np.ndarray]:
+def each_list(batch: pa.RecordBatch):
+    """Slices of a batch with their lists of hashes, of about CHUNK hashes or of one text."""
+    column = batch.column("h")
     ends = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    for start, to in runs(np.diff(ends).tolist(), CHUNK):
+        yield batch.slice(start, to - start), [values[a:b] for a, b in zip(ends[start:to], ends[start + 1 : to + 1])]
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -113,8 +116,8 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
     def work(batches):
         worker_memory("minhash")
-        for batch in batches:
-            sets = [shingles(h, n) for h in each_list(batch.column("h"))]
+        for batch, lists in (x for whole in batches for x in each_list(whole)):
+            sets = [shingles(h, n) for h in lists]
             sig = superminhash(sets)
             keys = band_keys(sig)
             bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1], keys.reshape(-1))
@@ -129,8 +132,8 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def work(batches):
         worker_memory("minhash")
-        for batch in batches:
-            sets = [shingles(h, n) for h in each_list(batch.column("h"))]
+        for batch, lists in (x for whole in batches for x in each_list(whole)):
+            sets = [shingles(h, n) for h in lists]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([name(s) for s in sets], pa.binary()), lists], names=["doc_id", "digest", "elements"])
@@ -192,8 +195,8 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray
 def links_of_hot(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """a, b: links between components inside buckets of more than SMALL members, enough to join all that are linked.
 
-    A bucket is dealt into blocks of about BLOCK members; each pair of blocks is one group, compared
-    exactly on whole sets.  Only links that join two components come out, fewer than members.
+    A bucket is dealt into blocks of about BLOCK members and ELEMENTS shingles at most (or of one
+    member); each pair of blocks is one group, compared exactly on whole sets.  Only links that join two components come out, fewer than members.
     """
 
     def compare(rows):
@@ -219,7 +222,9 @@ def links_of_hot(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 out.append((int(a.node[x]), int(b.node[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    size = materialize(member.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")), "dup-hot-sizes")
+    member = member.join(small(size, 500_000), "key")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / ELEMENTS)).cast("int")
     rows = member.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
     return rows.join(sets, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
