@@ -89,18 +89,25 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The content of a gzip file, of however many members, each part of the file read and inflated once."""
-    inflater = zlib.decompressobj(GZIP)
+    """The content of a gzip file, of however many members, each part of the file read and inflated once.
+
+    A file that ends within a member is an error, even if it ends with a whole record.
+    """
+    inflater, open_ = zlib.decompressobj(GZIP), False
     while data := stream.read(CHUNK):
         while data:
+            open_ = True
             if out := inflater.decompress(data, 4 * CHUNK):
                 yield out
             data = inflater.unconsumed_tail
             if inflater.eof:
-                data = inflater.unused_data
+                data, open_ = inflater.unused_data, False
                 inflater = zlib.decompressobj(GZIP)
-    if out := inflater.flush():
-        yield out
+    if open_:
+        if out := inflater.flush():
+            yield out
+        if not inflater.eof:
+            raise ValueError("truncated gzip member")
 
 
 def deflate(data: bytes, level: int) -> bytes:
