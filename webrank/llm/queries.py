@@ -26,7 +26,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_key")
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_id", "_key")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     hostile = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    turns = turns.unionByName(hostile).withColumn("parts", chat.text_part(F.col("text")))
+    turns = turns.unionByName(hostile).withColumn("parts", chat.typed_parts(F.col("text")))
     return chat.read_back(chat.format_turns(turns))
 
 
@@ -101,17 +101,21 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, k.c AS component_id, n.doc_id = k.c
 """
 
 _CONTROL = r"'\\|</?s>|\[/?INST\]|\[(?:IMAGE|AUDIO|DOCUMENT):'"
+_KIND = rf"CASE WHEN regexp_matches(x, '\.(?:{chat.IMAGE})\)$') THEN 'IMAGE' WHEN regexp_matches(x, '\.(?:{chat.AUDIO})\)$') THEN 'AUDIO' ELSE 'DOCUMENT' END"
 OP8_SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+p AS (SELECT *, list_transform(regexp_extract_all(text, '{chat.REFERENCE}'), lambda x: {_KIND}) AS kinds, regexp_replace(text, '{chat.REFERENCE}', chr(1), 'g') AS bare FROM t),
+f AS (SELECT *, 20 + length(role) + length(bare) - len(kinds) + len(regexp_extract_all(role, {_CONTROL})) + len(regexp_extract_all(bare, {_CONTROL}))
+    + coalesce(list_sum(list_transform(kinds, lambda x, i: 3 + length(x) + length((i - 1)::VARCHAR))), 0) AS formatted,
+  coalesce(list_sum(list_transform(kinds, lambda x: CASE x WHEN 'IMAGE' THEN 256 WHEN 'AUDIO' THEN 750 ELSE 512 END)), 0) AS tokens FROM p)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(20 + length(role) + length(text) + len(regexp_extract_all(role, {_CONTROL})) + len(regexp_extract_all(text, {_CONTROL})))::BIGINT AS formatted_chars,
-  0::BIGINT AS expanded_tokens
-FROM t GROUP BY conv_id
+  sum(formatted)::BIGINT AS formatted_chars, sum(len(kinds))::BIGINT AS n_attachments, sum(tokens)::BIGINT AS expanded_tokens
+FROM f GROUP BY conv_id
 """
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -124,12 +128,21 @@ d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 lens AS (SELECT DISTINCT k FROM win),
 dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, lens WHERE len(w) >= k),
 dx AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM dw),
-h AS MATERIALIZED (SELECT doc_id, item_id, dx.k, i FROM dx JOIN win ON win.win = dx.win AND win.k = dx.k),
+h AS MATERIALIZED (SELECT doc_id, item_id, dx.k, i, dx.win FROM dx JOIN win ON win.win = dx.win AND win.k = dx.k),
 p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS q FROM h) GROUP BY doc_id),
+wt AS MATERIALIZED (SELECT win, k, unnest(range(0, k)) AS off, unnest(string_split(win, ' ')) AS word FROM (SELECT DISTINCT win, k FROM win)),
+o AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM wt)),
+cf AS (SELECT word, count(*) AS c FROM o GROUP BY word),
+r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY c, off) AS rank FROM wt JOIN cf USING (word)),
+s AS (SELECT o.doc_id, r.win, r.k, o.pos - r.off AS start FROM r JOIN o ON o.word = r.word WHERE rank = 1),
+m AS (SELECT s.doc_id, s.win, s.start FROM s JOIN wt ON wt.win = s.win JOIN o ON o.doc_id = s.doc_id AND o.word = wt.word AND abs(o.pos - (s.start + wt.off)) <= 2
+  GROUP BY s.doc_id, s.win, s.start, s.k HAVING count(DISTINCT wt.off) = s.k),
+x AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, win FROM m EXCEPT SELECT DISTINCT doc_id, win FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
 
@@ -138,11 +151,3 @@ def oracle_sql() -> dict[str, str]:
 
     out = {"op4_warc": OP4_SQL, "op7_near_duplicates": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op10_decontamination": OP10_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
-
-
-def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id a decision (doc_id, kept) rejects; a doc_id with any kept row stays."""
-    from webrank.llm.common import small
-
-    bad = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
-    return docs.join(small(materialize(bad, "rejected"), 2_000_000), "doc_id", "left_anti").select(docs.columns)
