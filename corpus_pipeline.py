@@ -10,28 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webrank.llm import decontaminate, importance, minhash, packing, pii
-from webrank.llm.common import materialize, table
-from webrank.llm.queries import keep, vocabulary_path
+from webrank.llm.common import keep_rows, materialize, row_id, table
+from webrank.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, importance.resample(docs, table(spark, sf_dir, "labels")))
+    """Documents that importance resampling draws."""
+    return keep_rows(docs, importance.resample(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, minhash.near_duplicates(docs, n=5, least=80))
+    """The document of smallest doc_id of each group, and one of equal rows."""
+    return keep_rows(docs, minhash.near_duplicates(docs, n=5, least=80).withColumn("_id", row_id()), once=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return keep(docs, marked.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    """Documents without any whole window of the benchmark, however small a share of their words it is."""
+    marked = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"))
+    return keep_rows(docs, marked.select("_id", "_key", (F.col("n_hit") == 0).alias("kept")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in the packed sequences."""
     return packing.pack_documents(docs, vocabulary_path())
 
 
