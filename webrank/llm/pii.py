@@ -84,8 +84,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_id().alias("_id"), row_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
 
 
-def slots(rows: DataFrame) -> DataFrame:
-    """_id, _key, i, word, ctx: the contexts of every word of keyed() rows.
+def slots(rows: DataFrame, some: Column | None = None) -> DataFrame:
+    """_id, _key, i, word, ctx: the contexts of every word of keyed() rows, or of `some` of them.
 
     A context is the word before, the two before, the word after, or the words on both sides, by hash,
     lower-cased and with digits as 0; those that would reach beyond the text are left out.
@@ -93,9 +93,12 @@ def slots(rows: DataFrame) -> DataFrame:
     plain = F.translate(F.lower("_text"), "123456789", "000000000")
     hashes = F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     rows = rows.select("_id", "_key", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w"), hashes.alias("_h"))
+    # Neighbours are looked up before the words are exploded, so that no exploded row holds the text's array.
     at = lambda i: F.get("_h", i)
-    place = F.struct(F.col("i"), F.col("word"), at(F.col("i") - 1).alias("a"), at(F.col("i") - 2).alias("b"), at(F.col("i") + 1).alias("c"))
-    rows = rows.select("_id", "_key", "_h", F.posexplode("_w").alias("i", "word")).select("_id", "_key", place.alias("p")).select("_id", "_key", "p.*")
+    place = F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("word"), at(i - 1).alias("a"), at(i - 2).alias("b"), at(i + 1).alias("c")))
+    rows = rows.select("_id", "_key", place.alias("p")).select("_id", "_key", F.inline("p"))
+    if some is not None:
+        rows = rows.filter(some)
     both = lambda kind, x, y: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.xxhash64(F.lit(kind), x, y))
     every = F.array(both(1, "a", "a"), both(2, "b", "a"), both(3, "c", "c"), both(4, "a", "c"))
     return rows.select("_id", "_key", "i", "word", F.explode(every).alias("ctx")).filter("ctx is not null")
@@ -114,7 +117,7 @@ def seed(word: Column) -> Column:
 def induced(docs: DataFrame, support: int, floor: float) -> DataFrame:
     """ctx: the contexts of at least `support` different seeds that fill at least the share `floor` of their places in the corpus."""
     rows = keyed(docs)
-    seeds = slots(rows.filter(F.col("_text").rlike("[0-9@]"))).filter(seed(F.col("word"))).groupBy("ctx", F.xxhash64("word").alias("inst")).agg(F.count("*").alias("n"))
+    seeds = slots(rows.filter(F.col("_text").rlike("[0-9@]")), seed(F.col("word"))).groupBy("ctx", F.xxhash64("word").alias("inst")).agg(F.count("*").alias("n"))
     seeds = seeds.groupBy("ctx").agg(F.count("*").alias("insts"), F.sum("n").alias("seeds")).filter(F.col("insts") >= support)
     seeds = materialize(seeds, "pii-induced")
     if not seeds.limit(1).count():
