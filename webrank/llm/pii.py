@@ -90,13 +90,12 @@ def slots(rows: DataFrame, some: Column | None = None) -> DataFrame:
     A context is the word before, the two before, the word after, or the words on both sides, by hash,
     lower-cased and with digits as 0; those that would reach beyond the text are left out.
     """
-    plain = F.translate(F.lower("_text"), "123456789", "000000000")
-    hashes = F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    rows = rows.select("_id", "_key", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w"), hashes.alias("_h"))
-    # Neighbours are looked up before the words are exploded, so that no exploded row holds the text's array.
-    at = lambda i: F.get("_h", i)
-    place = F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("word"), at(i - 1).alias("a"), at(i - 2).alias("b"), at(i + 1).alias("c")))
-    rows = rows.select("_id", "_key", place.alias("p")).select("_id", "_key", F.inline("p"))
+    found = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    rows = rows.select("_id", "_key", found(F.col("_text")).alias("_w"), found(F.translate(F.lower("_text"), "123456789", "000000000")).alias("_h"))
+    # Neighbours are zipped as shifted arrays: a look-up by index would be folded into a lambda that finds all words again for each.
+    none = F.lit(None).cast("string")
+    shifted = F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(none), "_h").alias("a"), F.concat(F.array(none, none), "_h").alias("b"), F.slice("_h", 2, F.greatest(F.size("_h"), F.lit(1))).alias("c"))
+    rows = rows.select("_id", "_key", F.posexplode(shifted).alias("i", "p")).select("_id", "_key", "i", "p.*").filter("word is not null")
     if some is not None:
         rows = rows.filter(some)
     both = lambda kind, x, y: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.xxhash64(F.lit(kind), x, y))
