@@ -10,8 +10,12 @@ Conventions kept by every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +49,19 @@ def worker_memory(owner: str, make: Callable[[], object] | None = None) -> objec
     """
     if owner not in _kept:
         _kept.clear()
+        give_back()
         _kept[owner] = make() if make else None
     return _kept[owner]
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, where the C library and Arrow can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs (from, to) of rows whose sizes sum up to about `most`, or of one larger row, which are held together."""
     start = held = end = 0

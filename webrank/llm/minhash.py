@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import lower_az, materialize, runs, small, words, worker_memory
+from webrank.llm.common import give_back, lower_az, materialize, runs, small, words, worker_memory
 
 REGISTERS, ROWS = 128, 4
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -18,7 +18,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Elements whose ranks are drawn at a time.
 CHUNK = 400_000
 #: Members of a bucket whose pairs are made as rows; members and shingles of a block in larger buckets.
-SMALL, BLOCK, ELEMENTS = 32, 1024, 1 << 20
+SMALL, BLOCK, ELEMENTS = 32, 1024, 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +123,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1], keys.reshape(-1))
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), bands]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sig", "bands"])
+        give_back()
 
     return hashed(docs).mapInArrow(work, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
 
@@ -137,6 +138,7 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([name(s) for s in sets], pa.binary()), lists], names=["doc_id", "digest", "elements"])
+        give_back()
 
     return hashed(docs).mapInArrow(work, "doc_id long, digest binary, elements array<long>")
 
@@ -183,9 +185,9 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray
     both = np.zeros((len(a), len(b)), np.float32)
     number = np.cumsum(common) - 1
     row, column = row[common[place]], number[place[common[place]]]
-    for at in range(0, int(common.sum()), 4096):
-        part = (column >= at) & (column < at + 4096)
-        dense = np.zeros((len(sizes), 4096), np.float32)
+    for at in range(0, int(common.sum()), 2048):
+        part = (column >= at) & (column < at + 2048)
+        dense = np.zeros((len(sizes), 2048), np.float32)
         dense[row[part], column[part] - at] = 1
         both += dense[: len(a)] @ dense[len(a) :].T
     union = sizes[: len(a), None] + sizes[None, len(a) :] - both

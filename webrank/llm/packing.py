@@ -12,12 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import materialize, runs, worker_memory
+from webrank.llm.common import give_back, materialize, runs, worker_memory
 
 CAPACITY = 4096
 END = 1
 #: Bound on the words that a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Letters that neither normalisation nor the pre-tokeniser splits, and marks that stay together after them.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?"
@@ -131,6 +131,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 binary = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(at), pa.py_buffer(ids)])
                 own = part.select(["doc_id", "row"]).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(piece.astype(np.int32)), pa.array(begin), pa.array(length), binary], names=columns)
+        give_back()
 
     columns = ["doc_id", "row", "piece", "start", "length", "ids"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
