@@ -316,7 +316,7 @@ def test_parser_finds_turns_in_any_pieces():
 
 
 def test_lm(spark, docs, monkeypatch):
-    for name, value in (("FREQUENT", 20), ("FLOOR", 9), ("HELD", 700), ("BATCH", 256)):
+    for name, value in (("FREQUENT", 20), ("FLOOR", 9), ("HEAD", 8), ("HELD", 700), ("BATCH", 256)):
         monkeypatch.setattr(lbl, name, value)
     got = lbl.score(frame(spark, docs)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -396,7 +396,7 @@ def test_lm_learns():
 
 def test_lm_scores_beat_the_base_where_contexts_tell(spark, monkeypatch):
     """Held-out texts of two invented languages: the model beats the unigram by 0.2 a token, and right pairs beat wrong ones."""
-    monkeypatch.setattr(lbl, "FLOOR", 20)
+    monkeypatch.setattr(lbl, "HEAD", 100)
     rng = random.Random(5)
     pairs = [[(f"a{i}x{k}", f"b{i}y{k}") for i in range(12)] for k in range(2)]
     rows = [(i, " ".join(" ".join([*rng.choices([f"c{j}z{i % 2}" for j in range(40)], k=4), *rng.choice(pairs[i % 2])]) for _ in range(60))) for i in range(800)]

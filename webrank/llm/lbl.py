@@ -9,20 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import kth_largest, lower_az, materialize, row_id, row_key, runs, words, worker_memory
+from webrank.llm.common import kth_largest, lower_az, materialize, new_path, row_id, row_key, runs, words, worker_memory
 
 #: Dimensions; noise classes and noise words of a token; tokens of a step.
-DIM, NOISE, INNER, BATCH = 16, 48, 48, 1 << 14
+DIM, NOISE, INNER, BATCH = 16, 48, 48, 1 << 15
+#: Noise that a step looks at: the most frequent classes, and as many others or words of a class.
+EVERY, SOME = 24, 40
 #: Words farther back than two, up to WINDOW, count by their mean.
 WINDOW = 24
-#: A word of this count has vectors of its own, unless more than OWN_MOST words have it: then the OWN_MOST most frequent ones.
-FLOOR, OWN_MOST = 60, 200_000
+#: A word of this count has vectors of its own, and so have about the HEAD most frequent ones; if more than OWN_MOST words have the count, about so many.
+FLOOR, HEAD, OWN_MOST = 1000, 2000, 50_000
 #: Rarer words share vectors by the hash of their last SUFFIX characters.
-BUCKETS, SUFFIX = 4096, 3
+BUCKETS, SUFFIX = 2048, 3
 #: The most frequent words, about so many at most, whose counts are broadcast; all others' are joined.
 FREQUENT = 200_000
 #: Training tokens of a partition, about; tokens that a worker holds at a time.
-PART, HELD = 6_000_000, 1 << 18
+PART, HELD = 12_000_000, 1 << 18
 LN10 = np.log(10.0)
 
 
@@ -215,12 +217,13 @@ class Trainer:
     """AdaGrad on the noise-contrastive objective of both levels, with a rate for each vector of a row.
 
     NOISE noise classes stand against each token's class and INNER noise words of that class against
-    the word.  Noise is not drawn: its expectation is taken over the whole noise distribution, by matrix
-    products that a step's tokens share.
+    the word.  Their expectation is taken over the noise distribution by matrix products that a step's
+    tokens share: over the EVERY most frequent classes, and over a new random SOME, in each step, of the other
+    classes and of the words of a class, which stand for all of them.
     """
 
     def __init__(self, model: Model, unigram: np.ndarray, rate: float = 0.1):
-        self.m, self.rate = model, rate
+        self.m, self.rate, self.rng = model, rate, np.random.default_rng(11)
         n, width = len(unigram), model.width
         mass = class_mass(unigram, width)
         of = np.arange(n) // width
@@ -234,6 +237,14 @@ class Trainer:
         self.class_squares = np.full((len(mass), 2), 0.1, np.float32)
         self.times = np.zeros(n + 1, np.int32)
 
+    def some_of(self, first: int, end: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows from first to end - 1, all or the first `every` and SOME others, and how many of them each stands for."""
+        n = end - first
+        if n <= every + SOME:
+            return np.arange(first, end), np.ones(n, np.float32)
+        others = first + every + (self.rng.integers(0, n - every) + np.arange(SOME) * (n - every) // SOME) % (n - every)
+        return np.concatenate([np.arange(first, first + every), others]), np.repeat(np.array([1, (n - every) / SOME], np.float32), [every, SOME])
+
     def apply(self, table, squares, rows, total: np.ndarray, blocks) -> None:
         """Add to these rows of a table their gradients, each block by its rate."""
         for k, (a, b) in enumerate(blocks):
@@ -249,12 +260,15 @@ class Trainer:
         of = w // m.width
         dq = np.zeros_like(q)
         if len(self.mass) > 1:
+            noise, times = self.some_of(0, len(self.mass), EVERY)
+            r = m.classes[noise]
             up = 1 - squash(np.einsum("ij,ij->i", q, m.classes[of]) - self.log_class[of])
-            down = squash(q @ m.classes.T - self.log_class) * self.mass
+            down = squash(q @ r.T - self.log_class[noise]) * (self.mass[noise] * times)
             dq += up[:, None] * m.classes[of]
-            dq -= down @ m.classes
+            dq -= down @ r
+            minus = np.zeros_like(m.classes)
+            minus[noise] = -(down.T @ q)
             rows, total = gathered(of, up[:, None] * q)
-            minus = -(down.T @ q)
             minus[rows] += total
             self.apply(m.classes, self.class_squares, slice(None), minus, [(0, d), (d, d + 1)])
         grad = np.zeros((len(s), 4 * d + 1), np.float32)
@@ -264,23 +278,24 @@ class Trainer:
         grad[t, 3 * d :] = up[:, None] * q
         order = np.argsort(of.astype(np.uint16) if len(self.mass) < 1 << 16 else of, kind="stable")
         bounds = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
-        minus = np.zeros((len(own), d + 1), np.float32)
+        against, pushed = [], []
         for i, j in zip(bounds[:-1], bounds[1:]):
             at = order[i:j]
-            c = slice(of[at[0]] * m.width, min((of[at[0]] + 1) * m.width, len(self.noise)))
-            r, qk = own[c], q[at]
-            down = squash(qk @ r.T - self.log_noise[c]) * self.noise[c]
+            first = of[at[0]] * m.width
+            noise, times = self.some_of(first, min(first + m.width, len(self.noise)), 0)
+            r, qk = own[noise], q[at]
+            down = squash(qk @ r.T - self.log_noise[noise]) * (self.noise[noise] * times)
             dq[at] -= down @ r
-            minus[c] = down.T @ qk
+            against.append(noise)
+            pushed.append(down.T @ qk)
         dq = dq[:, :d]
         grad[t - 1, :d] += dq
         grad[t - 2, d : 2 * d] += dq
         grad[:, 2 * d : 3 * d] = spread_back(dq * text.share[:, None], text, len(s))
         rows, total = gathered(s, grad)
         self.apply(m.rows, self.squares, rows, total[:, : 3 * d], self.blocks[:3])
-        minus = -minus
-        minus[rows] += total[:, 3 * d :]
-        self.apply(own, self.squares[:, 3:], slice(None), minus, [(0, d), (d, d + 1)])
+        both, total = gathered(np.concatenate([rows, *against]), np.concatenate([total[:, 3 * d :], *(-x for x in pushed)]))
+        self.apply(own, self.squares[:, 3:], both, total, [(0, d), (d, d + 1)])
         np.add.at(self.times, s, 1)
 
 
@@ -338,7 +353,7 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     Words come to the driver by a threshold on their count that at most FREQUENT (or OWN_MOST) pass.
     """
     n, v, above, own_n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") > 1, 1)), F.count(F.when(F.col("c") >= FLOOR, 1))).first()
-    floor = FLOOR if own_n <= OWN_MOST else least_count(counts, OWN_MOST) + 1
+    floor = FLOOR if HEAD <= own_n <= OWN_MOST else 1 + least_count(counts, OWN_MOST if own_n > OWN_MOST else HEAD)
     frequent = 1 if v <= FREQUENT else 2 if above <= FREQUENT else least_count(counts, FREQUENT) + 1
     top = counts.filter(F.col("c") >= min(floor, frequent)).toArrow()
     h, c = top["h"].to_numpy(), top["c"].to_numpy()
@@ -471,8 +486,8 @@ def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs.
 
     score is the log10 probability of a text: the log-bilinear model's for the symbols of its tokens
-    (every word of FLOOR occurrences, the end, and buckets by the last characters for rarer words), and
-    for a word of a bucket also that of the word in it, (c + 0.5) / (n + 0.5 * (v + 1)) by its count.
+    (the words of FLOOR occurrences or of the HEAD, the end, and buckets by the last characters for rarer
+    words), and for a word of a bucket also that of the word in it, (c + 0.5) / (n + 0.5 * (v + 1)) by its count.
     Words with vectors grow in number with the corpus, up to OWN_MOST, which bounds the model in memory.
 
     Counts cover all training documents.  Those of the FREQUENT words, and of all with vectors of
@@ -481,7 +496,9 @@ def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     Nulls: a null text is empty and has its end alone; a null doc_id counts as training.  Repeated
     rows get a row each.  Without training documents all words are unknown; an empty table gives no rows.
     """
-    tokens = materialize(hashed(docs), "lm-tokens")
+    path = new_path(docs.sparkSession, "lm-tokens")
+    hashed(docs).write.option("parquet.dictionary.page.size", 16 << 20).parquet(path)  # most hashes repeat: a dictionary keeps them small
+    tokens = docs.sparkSession.read.parquet(path)
     counts = word_counts(tokens)
     v = vocabulary(counts, tokens.filter("not held_out").count())
     rows = materialize(scored(tokens, v, train(tokens, v, rounds)).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
