@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import kth_largest, lower_az, materialize, new_path, row_id, row_key, runs, words, worker_memory
+from webrank.llm.common import give_back, kth_largest, lower_az, materialize, new_path, row_id, row_key, runs, words, worker_memory
 
 #: Dimensions; noise classes and noise words of a token; tokens of a step.
-DIM, NOISE, INNER, BATCH = 16, 48, 48, 1 << 15
+DIM, NOISE, INNER, BATCH = 12, 48, 48, 1 << 14
 #: Noise that a step looks at: the most frequent classes, and as many others or words of a class.
-EVERY, SOME = 24, 40
+EVERY, SOME = 12, 28
 #: Words farther back than two, up to WINDOW, count by their mean.
 WINDOW = 24
 #: A word of this count has vectors of its own, and so have about the HEAD most frequent ones; if more than OWN_MOST words have the count, about so many.
@@ -24,7 +24,7 @@ BUCKETS, SUFFIX = 2048, 3
 #: The most frequent words, about so many at most, whose counts are broadcast; all others' are joined.
 FREQUENT = 200_000
 #: Training tokens of a partition, about; tokens that a worker holds at a time.
-PART, HELD = 12_000_000, 1 << 18
+PART, HELD = 12_000_000, 1 << 16
 LN10 = np.log(10.0)
 
 
@@ -49,6 +49,11 @@ class Vocabulary:
     def start(self) -> int:
         return len(self.sizes)
 
+    def own(self) -> Vocabulary:
+        """The same symbols, without the counts of words that have no vectors of their own, which training needs not."""
+        some = self.bottoms[self.symbols] == 0
+        return replace(self, hashes=self.hashes[some], counts=self.counts[some], symbols=self.symbols[some])
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, symbol) of word hashes: count -1 for words that aren't frequent."""
         symbol = self.buckets[h & (BUCKETS - 1)]
@@ -183,10 +188,10 @@ class Texts:
 
 
 def squash(s: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    np.clip(s, -30, 30, out=s)
+    """The logistic function, in place; a very low score overflows to infinity and so gives 0."""
     np.negative(s, out=s)
-    np.exp(s, out=s)
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
     s += 1
     return np.reciprocal(s, out=s)
 
@@ -194,23 +199,24 @@ def squash(s: np.ndarray) -> np.ndarray:
 def spread_back(grad: np.ndarray, text: Texts, n: int) -> np.ndarray:
     """For each of n places, the sum of the gradients of the tokens whose window of farther words covers it.
 
-    A window adds at its begin and takes away at its end; running sums do the rest.  Begins repeat (all
-    early tokens of a text share one), and so do the ends of tokens too near to a text's begin to have a window.
+    A window adds at its begin, which early tokens of a text share, and takes away at its end, which is
+    its own; running sums do the rest.
     """
-    grad = np.where((text.to > text.since)[:, None], grad, 0)
+    some = text.to > text.since
     steps = np.zeros((n + 1, grad.shape[1]))
-    for at, sign in ((text.since, 1), (text.to, -1)):
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        steps[at[first]] += sign * np.add.reduceat(grad, first, axis=0)
+    steps[text.to[some]] = -grad[some]
+    since, grad = text.since[some], grad[some]
+    first = np.flatnonzero(np.diff(since, prepend=-1))
+    steps[since[first]] += np.add.reduceat(grad, first, axis=0) if len(first) else 0
     return np.cumsum(steps, axis=0)[:-1]
 
 
-def gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of `index`, which may repeat, once each, and the sums of their gradients."""
+def gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of `index`, which may repeat, once each, the sums of their gradients and how often each came."""
     order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.diff(index, prepend=-1))
-    return index[first], np.add.reduceat(grad[order], first, axis=0)
+    return index[first], np.add.reduceat(grad[order], first, axis=0), np.diff(first, append=len(index))
 
 
 class Trainer:
@@ -235,7 +241,7 @@ class Trainer:
         self.blocks = [(i * d, (i + 1) * d) for i in range(4)] + [(4 * d, 4 * d + 1)]
         self.squares = np.full((n + 1, 5), 0.1, np.float32)
         self.class_squares = np.full((len(mass), 2), 0.1, np.float32)
-        self.times = np.zeros(n + 1, np.int32)
+        self.times = np.zeros(n + 1, np.int64)
 
     def some_of(self, first: int, end: int, every: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows from first to end - 1, all or the first `every` and SOME others, and how many of them each stands for."""
@@ -268,7 +274,7 @@ class Trainer:
             dq -= down @ r
             minus = np.zeros_like(m.classes)
             minus[noise] = -(down.T @ q)
-            rows, total = gathered(of, up[:, None] * q)
+            rows, total, _ = gathered(of, up[:, None] * q)
             minus[rows] += total
             self.apply(m.classes, self.class_squares, slice(None), minus, [(0, d), (d, d + 1)])
         grad = np.zeros((len(s), 4 * d + 1), np.float32)
@@ -292,11 +298,11 @@ class Trainer:
         grad[t - 1, :d] += dq
         grad[t - 2, d : 2 * d] += dq
         grad[:, 2 * d : 3 * d] = spread_back(dq * text.share[:, None], text, len(s))
-        rows, total = gathered(s, grad)
+        rows, total, times = gathered(s, grad)
+        self.times[rows] += times
         self.apply(m.rows, self.squares, rows, total[:, : 3 * d], self.blocks[:3])
-        both, total = gathered(np.concatenate([rows, *against]), np.concatenate([total[:, 3 * d :], *(-x for x in pushed)]))
+        both, total, _ = gathered(np.concatenate([rows, *against]), np.concatenate([total[:, 3 * d :], *(-x for x in pushed)]))
         self.apply(own, self.squares[:, 3:], both, total, [(0, d), (d, d + 1)])
-        np.add.at(self.times, s, 1)
 
 
 def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -408,7 +414,7 @@ def train(tokens: DataFrame, v: Vocabulary, rounds: int = 1) -> Model:
     parts = max(1, round(v.totals["n"] / PART))
     rows = tokens.filter("not held_out").repartition(parts, "_deal").sortWithinPartitions("_deal").select("h")
     for _ in range(rounds):
-        shared = tokens.sparkSession.sparkContext.broadcast((v, first))
+        shared = tokens.sparkSession.sparkContext.broadcast((v.own(), first))
 
         def work(batches, shared=shared):
             worker_memory("lm")
@@ -478,6 +484,7 @@ def scored(tokens: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.bincount(lo[at], minlength=docs_n))]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (lh[at].astype(np.int64), tf.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(sums(log_c) - n_tokens * base_log), pa.array(sums(token)), *lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "uh", "utf"])
+        give_back()
 
     return tokens.select("doc_id", "held_out", "h").mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, uh array<long>, utf array<int>")
 
