@@ -18,9 +18,9 @@ EVERY, SOME = 12, 28
 #: Words farther back than two, up to WINDOW, count by their mean.
 WINDOW = 24
 #: A word of this count has vectors of its own, and so have about the HEAD most frequent ones; if more than OWN_MOST words have the count, about so many.
-FLOOR, HEAD, OWN_MOST = 1000, 2000, 50_000
+FLOOR, HEAD, OWN_MOST = 2000, 2000, 50_000
 #: Rarer words share vectors by the hash of their last SUFFIX characters.
-BUCKETS, SUFFIX = 2048, 3
+BUCKETS, SUFFIX = 1024, 3
 #: The most frequent words, about so many at most, whose counts are broadcast; all others' are joined.
 FREQUENT = 200_000
 #: Training tokens of a partition, about; tokens that a worker holds at a time.
