@@ -22,10 +22,10 @@ def allowed_domains(seeds: DataFrame) -> DataFrame:
 
 
 def host_allowed(host: Column, domains: list[str]) -> Column:
-    out = F.lit(False)
-    for domain in domains:
-        out = out | (host == domain) | host.endswith(f".{domain}")
-    return out
+    """Whether a host is one of the domains or below one: one of its own suffixes is in the list."""
+    parts = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.coalesce(F.arrays_overlap(suffixes, F.array(*map(F.lit, domains)).cast("array<string>")), F.lit(False))
 
 
 def has_trap_query(query: Column) -> Column:
@@ -80,18 +80,50 @@ def too_many_variants(rows: DataFrame, order: str = "arrival", limit: int = 20)
     return rows.withColumn("too_many", F.col("variants") > limit).drop("_q", "_k", "_first")
 
 
+def with_variant(rows: DataFrame) -> DataFrame:
+    """rows(url) with _k, the host and path, and _q, the query."""
+    key = F.lower(F.concat_ws("\n", U.part(F.col("url"), U.NETLOC), U.part(F.col("url"), U.PATH)))
+    return rows.withColumns({"_q": U.part(F.col("url"), U.QUERY), "_k": key})
+
+
+def within_limit(rows: DataFrame, order: str, limit: int, seen: DataFrame | None = None) -> DataFrame:
+    """rows of with_variant() with `ok`: whether too_many_variants() would accept them after what seen(_k, _q) has.
+
+    Only where the limit is met counts: the place of the first query beyond it at each host and path.
+    It is found among distinct queries, in two steps of which the first is salted, so no task gets
+    all of a host's URLs.
+    """
+    new = rows.filter("_q <> ''").groupBy("_k", "_q").agg(F.min(order).alias("_first"))
+    old = rows.sparkSession.createDataFrame([], "_k string, _before long")
+    if seen is not None:
+        new = new.join(seen, ["_k", "_q"], "left_anti")
+        old = seen.groupBy("_k").agg(F.count("*").alias("_before"))
+    salted = Window.partitionBy("_k", F.pmod(F.xxhash64("_q"), F.lit(64))).orderBy("_first")
+    new = new.withColumn("_at", F.row_number().over(salted)).filter(F.col("_at") <= limit + 1)
+    new = new.withColumn("_at", F.row_number().over(Window.partitionBy("_k").orderBy("_first"))).join(old, "_k", "left")
+    cut = new.filter(F.col("_at") == limit + 1 - F.coalesce("_before", F.lit(0))).select("_k", F.col("_first").alias("_cut"))
+    rows = rows.join(cut, "_k", "left").join(old, "_k", "left")
+    many = (F.coalesce("_before", F.lit(0)) > limit) | F.coalesce(F.col(order) >= F.col("_cut"), F.lit(False))
+    return rows.withColumn("ok", (F.col("_q") == "") | ~many).drop("_cut", "_before")
+
+
 def without_bad(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """rows(url) whose canonical URL isn't in bad(url)."""
     rows = rows.withColumn("_n", U.normalize_crawl(F.col("url")))
     return rows.join(bad.select(F.col("url").alias("_n")).distinct(), "_n", "left_anti").drop("_n")
 
 
-def valid(rows: DataFrame, domains: list[str] | None = None, bad: DataFrame | None = None, order: str = "arrival", limit: int = 20) -> DataFrame:
-    """rows(url, arrival) that every rule accepts; only URLs that pass the earlier rules count as variants."""
+def judged(rows: DataFrame, domains: list[str] | None = None, bad: DataFrame | None = None, order: str = "arrival", limit: int = 20, seen: DataFrame | None = None) -> DataFrame:
+    """rows(url, arrival) that pass the rules before that of variants, with `ok` (whether all rules accept them), _k and _q."""
     late = ("events", "wiki", "extension")
     rows = rows.withColumn("_why", reject_reason(F.col("url"), domains)).filter(F.col("_why").isNull() | F.col("_why").isin(*late))
     rows = without_bad(rows, bad) if bad is not None else rows
-    return too_many_variants(rows, order, limit).filter("not too_many and _why is null").drop("_why", "variants", "too_many")
+    return within_limit(with_variant(rows), order, limit, seen).withColumn("ok", F.col("ok") & F.col("_why").isNull()).drop("_why")
+
+
+def valid(rows: DataFrame, domains: list[str] | None = None, bad: DataFrame | None = None, order: str = "arrival", limit: int = 20, seen: DataFrame | None = None) -> DataFrame:
+    """rows(url, arrival) that every rule accepts; only URLs that pass the earlier rules count as variants."""
+    return judged(rows, domains, bad, order, limit, seen).filter("ok").drop("ok", "_k", "_q")
 
 
 def bad_urls(responses: DataFrame) -> DataFrame:
@@ -108,12 +140,15 @@ def readable(responses: DataFrame, settings: Settings = Settings()) -> DataFrame
     return rows.filter(F.size(tokenize_with_stop_words(F.col("text"))) >= settings.min_words).select("url", F.coalesce("final_url", "url").alias("final_url"), "html", "text")
 
 
-def scrape(responses: DataFrame, domains: list[str] | None = None, bad: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """source, url: the valid canonical links of readable responses."""
+def scrape(responses: DataFrame, domains: list[str] | None = None, bad: DataFrame | None = None, settings: Settings = Settings(), seen: DataFrame | None = None) -> DataFrame:
+    """source, url, ok: the canonical links of readable responses that the rules before that of variants accept.
+
+    ok tells whether the others do, too, given the variants seen(_k, _q) before.
+    """
     rows = readable(responses, settings).select(F.col("url").alias("source"), F.posexplode(next_links("final_url", "html")).alias("i", "link"))
     rows = rows.select("source", "i", U.normalize_crawl(F.col("link")).alias("url")).filter("url <> ''")
     rows = rows.withColumn("arrival", F.struct("source", "i", "url"))
-    return valid(rows, domains, bad, limit=settings.max_variants).select("source", "url")
+    return judged(rows, domains, bad, limit=settings.max_variants, seen=seen).select("source", "url", "ok")
 
 
 def last_round(spark: SparkSession, root: str) -> int:
@@ -128,7 +163,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, fetch: Callable[[DataFrame], Da
 
     A round fetches the frontier, dealt by host (to `threads` tasks, if given), stores the responses,
     and adds links whose hash is unseen.  What each round adds is stored in the shared folder, or under
-    `state`: its responses, new bad URLs and the frontier it leaves.  A crawl with a `state` resumes
+    `state`: its responses, new bad URLs, the query variants it met and the frontier it leaves.  A crawl with a `state` resumes
     after its last whole round, from the frontier's URLs that are still valid, and gives the earlier
     rounds' responses too.  max_rounds and max_pages limit one call; what they leave stays in the frontier.
     """
@@ -169,7 +204,10 @@ def crawl(spark: SparkSession, seeds: DataFrame, fetch: Callable[[DataFrame], Da
         n, done = n + responses.count(), done + 1
         store(bad_urls(responses), "bad")
         bad = spark.read.parquet(*(f"{at(i)}/bad" for i in range(1, last + 2))).distinct()
-        links = materialize(scrape(responses, domains, bad, settings).select("source", U.normalize_frontier(F.col("url")).alias("url")), "links")
+        seen = spark.read.parquet(*(f"{at(i)}/variants" for i in range(1, last + 1))).distinct() if last else None
+        links = materialize(scrape(responses, domains, bad, settings, seen), "links")
+        store(with_variant(links).filter("_q <> ''").select("_k", "_q").distinct(), "variants")
+        links = links.filter("ok").select("source", U.normalize_frontier(F.col("url")).alias("url"))
         links = links.join(responses.select(F.col("url").alias("source"), "depth").distinct(), "source")
         links = links.withColumn("hash", U.url_hash(F.col("url"))).groupBy("hash").agg(F.min("url").alias("url"), (F.min("depth") + 1).alias("depth"))
         links = links.join(stored("frontier").select("hash"), "hash", "left_anti").select("url", "hash", "depth")

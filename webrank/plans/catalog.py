@@ -234,9 +234,8 @@ def stemmed_terms(spark, d):
 
 
 def crawl_rounds(spark, d):
-    """A crawl from two seeds over the pages table."""
-    seeds = pages(spark, d).orderBy("page_id").limit(2).select("url")
-    return crawl.crawl(spark, seeds, P.table_fetcher(pages(spark, d)), max_rounds=3).select("url", "status", "depth")
+    """A crawl from every page of the table, until the frontier is empty."""
+    return crawl.crawl(spark, pages(spark, d).select("url"), P.table_fetcher(pages(spark, d))).select("url", "status", "depth")
 
 
 def analytics_pages(spark, d):
