@@ -6,14 +6,14 @@ import argparse
 import logging
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from webrank.config import CrawlConfig
 from webrank.operators import crawl as C
 from webrank.operators import graph, search
 from webrank.operators.index import IndexTables, build_index, size_report
 from webrank.plans import pipeline
-from webrank.sources.pages import download, read_json, write_pages
+from webrank.functions.text import to_text
+from webrank.sources.pages import download, read_pages, write_pages
 from webrank.streaming.incremental import compact
 
 
@@ -32,9 +32,9 @@ def main(args: list[str] | None = None) -> None:
         config = CrawlConfig.read(o.config)
         seeds = spark.createDataFrame([(x,) for x in config.seeds], "url string")
         pages = C.crawl(spark, seeds, lambda urls: download(urls, config.user_agent, politeness=config.politeness), state=f"{o.index}/frontier", threads=config.threads)
-        write_pages(pages.filter("status = 200").select("url", F.decode("body", "UTF-8").alias("content")), o.pages)
+        write_pages(pages.filter("status = 200").select("url", to_text("body").alias("content")), o.pages)
     elif o.command == "build-index":
-        build_index(read_json(spark, o.pages)).save(o.index)
+        build_index(read_pages(spark, o.pages)).save(o.index)
     elif o.command == "merge":
         compact(spark, f"{o.index}/partial", o.index)
         size_report(spark, o.index).show()

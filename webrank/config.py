@@ -75,8 +75,8 @@ class CrawlConfig:
         with open(path) as f:
             ini.read_file(f)
         agent = ini["IDENTIFICATION"]["USERAGENT"].strip()
-        if agent == "DEFAULT AGENT" or not re.fullmatch(r"[a-zA-Z0-9_ ,\-/.:;()+@]+", agent):
-            raise ValueError("set a USERAGENT of plain characters")
+        if agent == "DEFAULT AGENT" or not re.fullmatch(r"[a-zA-Z0-9_ ,]+", agent):
+            raise ValueError("set a USERAGENT of letters, digits, underscores, commas and blanks")
         crawl = ini["CRAWLER"]
         seeds = [x.strip() for x in crawl["SEEDURL"].split(",") if x.strip()]
         return cls(agent, ini.getint("LOCAL PROPERTIES", "THREADCOUNT"), seeds, crawl.getfloat("POLITENESS"), ini["LOCAL PROPERTIES"]["SAVE"])

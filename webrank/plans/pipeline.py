@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webrank.config import Settings
 from webrank.operators import graph, search
 from webrank.operators.index import IndexTables, build_index
-from webrank.sources.pages import read_json
+from webrank.sources.pages import read_pages
 
 
 def ready(spark: SparkSession, folder: str) -> bool:
@@ -24,7 +24,7 @@ def build(spark: SparkSession, source: str, folder: str, stem: bool = True, sett
     """Index the pages below `source` into `folder`, the link graph and PageRank included; nothing if that is there already."""
     if not again and ready(spark, folder):
         return
-    build_index(read_json(spark, source), stem, settings).save(folder)
+    build_index(read_pages(spark, source), stem, settings).save(folder)
     rank(spark, folder, settings)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import re
 import time
 import urllib.error
@@ -45,25 +46,72 @@ def from_table(pages: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Store url, content by file name; the last version of a URL (by `arrival`, if there) wins."""
+    """Store url, content by file name with their arrival (now, if pages have none); the last version of a URL wins."""
     rows = pages.withColumn("path", file_name(F.col("url")))
-    if "arrival" in pages.columns:
-        rows = rows.groupBy("path", "url").agg(F.max_by("content", "arrival").alias("content"))
-    rows.select("path", "url", "content").write.mode("append").parquet(path)
+    if "arrival" not in pages.columns:
+        rows = rows.withColumn("arrival", F.current_timestamp())
+    rows = rows.groupBy("path", "url").agg(F.max_by("content", "arrival").alias("content"), F.max("arrival").alias("arrival"))
+    rows.select("path", "url", "content", "arrival").write.mode("append").parquet(path)
 
 
 def latest(pages: DataFrame) -> DataFrame:
-    return pages.dropDuplicates(["url"])
+    """path, url, content of pages(path, url, content, arrival): each URL's last version."""
+    last = F.max_by(F.struct("path", "content"), "arrival").alias("x")
+    return pages.groupBy("url").agg(last).select("x.path", "url", "x.content")
 
 
-def download(urls: DataFrame, user_agent: str, connect: float = 5.0, politeness: float = 0.0) -> DataFrame:
-    """Fetch urls(url); errors become statuses 600 (invalid URL), 601 (time-out), 602 (connection), 603 (other).
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """path, url, content of a folder of pages: those that write_pages() stored, or JSON files."""
+    tables = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+    return latest(spark.read.parquet(folder)) if tables.select("path").limit(1).count() else read_json(spark, folder)
+
+
+class _Plain(http.client.HTTPConnection):
+    read = 15.0
+
+    def connect(self):
+        super().connect()
+        self.sock.settimeout(self.read)
+
+
+class _Secure(http.client.HTTPSConnection):
+    read = 15.0
+
+    def connect(self):
+        super().connect()
+        self.sock.settimeout(self.read)
+
+
+class _Handler(urllib.request.HTTPHandler, urllib.request.HTTPSHandler):
+    """Opens connections whose time-out is another once they stand."""
+
+    def __init__(self, read: float):
+        super().__init__()
+        self.kinds = [type("Timed", (kind,), {"read": read}) for kind in (_Plain, _Secure)]
+
+    def http_open(self, request):
+        return self.do_open(self.kinds[0], request)
+
+    def https_open(self, request):
+        return self.do_open(self.kinds[1], request)
+
+
+def failure(e: Exception) -> int:
+    """The status of a failed fetch: 600 too many redirects, 601 connection, 602 time-out, 603 anything else."""
+    reason = getattr(e, "reason", None)
+    if isinstance(e, TimeoutError) or isinstance(reason, TimeoutError):
+        return 602
+    return 601 if isinstance(e, (urllib.error.URLError, ConnectionError, http.client.HTTPException)) else 603
+
+
+def download(urls: DataFrame, user_agent: str, connect: float = 5.0, politeness: float = 0.0, read: float = 15.0) -> DataFrame:
+    """Fetch urls(url), with a time-out for the connection and one for each read; failure() gives errors their statuses.
 
     A host's fetches in a task are at least `politeness` seconds apart.
     """
 
     def fetch(batches):
-        ended = {}
+        ended, opener = {}, urllib.request.build_opener(_Handler(read))
         for batch in batches:
             rows = []
             for url in batch.url:
@@ -71,18 +119,15 @@ def download(urls: DataFrame, user_agent: str, connect: float = 5.0, politeness:
                 if host in ended:
                     time.sleep(max(0.0, ended[host] + politeness - time.monotonic()))
                 try:
-                    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": user_agent}), timeout=connect) as r:
+                    with opener.open(urllib.request.Request(url, headers={"User-Agent": user_agent}), timeout=connect) as r:
                         rows.append((url, r.geturl(), r.status, r.headers.get("Content-Type"), r.read(), None))
                 except urllib.error.HTTPError as e:
-                    rows.append((url, e.geturl(), e.code, e.headers.get("Content-Type"), e.read(), None))
-                except ValueError as e:
-                    rows.append((url, url, 600, None, None, str(e)))
-                except TimeoutError as e:
-                    rows.append((url, url, 601, None, None, str(e)))
-                except urllib.error.URLError as e:
-                    rows.append((url, url, 602, None, None, str(e)))
+                    if 300 <= e.code < 400 and "redirect" in str(e.msg).lower():
+                        rows.append((url, url, 600, None, None, str(e)))
+                    else:
+                        rows.append((url, e.geturl(), e.code, e.headers.get("Content-Type"), e.read(), None))
                 except Exception as e:  # noqa: BLE001  whatever a server does is a status
-                    rows.append((url, url, 603, None, None, str(e)))
+                    rows.append((url, url, failure(e), None, None, str(e)))
                 ended[host] = time.monotonic()
             yield pd.DataFrame(rows, columns=["url", "final_url", "status", "content_type", "body", "error"])
 
