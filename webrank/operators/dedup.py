@@ -76,13 +76,21 @@ def bucket(fingerprint: Column, bits: int = 12) -> Column:
 def near_duplicates(fingerprints: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, prior_doc_id, distance of documents of one bucket that differ in few bits.
 
-    Equal fingerprints are compared once: distinct ones are paired within their bucket, and the
-    documents of a pair of fingerprints are joined afterwards.
+    Equal fingerprints are compared once.  The bits outside the bucket are cut into one block more
+    than bits may differ, so two fingerprints within the distance agree in some block: pairs meet by
+    bucket and block, and a pair is taken at the first block in which it agrees.
     """
     rows = fingerprints.select("doc_id", "fingerprint")
+    free, blocks = 64 - settings.bucket_bits, settings.hamming + 1
+    ends = [free * i // blocks for i in range(blocks + 1)]
+    block = lambda f, i: F.shiftrightunsigned(f, ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
     distinct = rows.select("fingerprint").distinct().withColumn("bucket", bucket(F.col("fingerprint"), settings.bucket_bits))
-    a, b = distinct.toDF("fa", "bucket"), distinct.toDF("fb", "bucket")
-    pairs = a.join(b, "bucket").withColumn("distance", hamming(F.col("fa"), F.col("fb"))).filter(F.col("distance") <= settings.hamming)
+    keyed = distinct.select("fingerprint", "bucket", F.posexplode(F.array(*(block(F.col("fingerprint"), i) for i in range(blocks)))).alias("i", "block"))
+    a, b = keyed.withColumnRenamed("fingerprint", "fa"), keyed.withColumnRenamed("fingerprint", "fb")
+    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    first = F.coalesce(*(F.when(block(differ, i) == 0, F.lit(i)) for i in range(blocks)))
+    pairs = a.join(b, ["bucket", "i", "block"]).withColumn("distance", hamming(F.col("fa"), F.col("fb")))
+    pairs = pairs.filter((F.col("distance") <= settings.hamming) & (first == F.col("i"))).select("fa", "fb", "distance")
     left, right = rows.toDF("doc_id", "fa"), rows.toDF("prior_doc_id", "fb")
     return pairs.join(left, "fa").join(right, "fb").filter("prior_doc_id < doc_id").select("doc_id", "prior_doc_id", F.col("distance").cast("int").alias("distance"))
 
