@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webrank.config import Settings
 from webrank.functions.text import stemmed, tokenize
 from webrank.operators.index import IndexTables
+from webrank.sources.scratch import materialize
 
 
 def phrase(p1: Column, p2: Column) -> Column:
@@ -40,19 +41,34 @@ def weights(terms: DataFrame, index: IndexTables) -> DataFrame:
     return rows.withColumn("idf", idf).select("query_id", "term", ((1 + F.log10("qtf")) * F.col("idf")).alias("weight"), F.row_number().over(order).alias("term_rank"))
 
 
+#: Query terms, or pairs of them, up to which the index is filtered by a broadcast table.
+FEW = 1_000_000
+
+
 def score(queries: DataFrame, index: IndexTables, ranks: DataFrame | None = None, stem: bool = False, settings: Settings = Settings()) -> DataFrame:
-    """query_id, doc_id, tfidf, matched, bigram_hits, phrase_hits, rank, score, first_term: all documents with a known term."""
-    terms = query_terms(queries, stem)
-    known = weights(terms, index)
-    hits = index.postings.join(known, "term").select("query_id", "doc_id", "term", "weight", "term_rank", "tf", "positions")
+    """query_id, doc_id, tfidf, matched, bigram_hits, phrase_hits, rank, score, first_term: all documents with a known term.
+
+    The queries' own tables are written and counted: as long as they have FEW rows they are broadcast,
+    so that postings and bigrams are filtered where they are read and only what queries meet is
+    shuffled.  Positions are read for the terms of adjacent pairs alone.
+    """
+    terms = materialize(query_terms(queries, stem), "query-terms")
+    known = materialize(weights(terms, index), "query-weights")
+    pairs = materialize(adjacent(terms), "query-pairs")
+    few_terms, few_pairs = known.count() <= FEW, pairs.count() <= FEW
+    side = lambda df, few: F.broadcast(df) if few else df
+    hits = index.postings.select("term", "doc_id", "tf").join(side(known, few_terms), "term")
     got = hits.groupBy("query_id", "doc_id").agg(F.sum((1 + F.log10("tf")) * F.col("weight")).alias("dot"), F.count("*").alias("matched"), F.min("term_rank").alias("first_term"))
-    pairs = adjacent(terms)
-    grams = pairs.withColumn("bigram", F.concat_ws("_", "t1", "t2")).join(index.bigrams.select("bigram", "doc_id").distinct(), "bigram")
-    grams = grams.groupBy("query_id", "doc_id").agg(F.sum("times").alias("bigram_hits"))
-    a = hits.select("query_id", "doc_id", F.col("term").alias("t1"), F.col("positions").alias("p1"))
-    b = hits.select("query_id", "doc_id", F.col("term").alias("t2"), F.col("positions").alias("p2"))
-    runs = pairs.join(a, ["query_id", "t1"]).join(b, ["query_id", "t2", "doc_id"]).filter(phrase(F.col("p1"), F.col("p2")))
-    runs = runs.groupBy("query_id", "doc_id").agg(F.sum("times").alias("phrase_hits"))
+    named = pairs.withColumn("bigram", F.concat_ws("_", "t1", "t2"))
+    grams = index.bigrams.select("bigram", "doc_id").join(side(named.select("bigram").distinct(), few_pairs), "bigram", "left_semi").distinct()
+    grams = grams.join(side(named, few_pairs), "bigram").groupBy("query_id", "doc_id").agg(F.sum("times").alias("bigram_hits"))
+    both = pairs.join(known.select("query_id", F.col("term").alias("t1")), ["query_id", "t1"], "left_semi").join(known.select("query_id", F.col("term").alias("t2")), ["query_id", "t2"], "left_semi")
+    both = both.groupBy("t1", "t2").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
+    met = both.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
+    places = materialize(index.postings.select("term", "doc_id", "positions").join(side(met, few_pairs), "term", "left_semi"), "query-places")
+    a, b = places.toDF("t1", "doc_id", "p1"), places.toDF("t2", "doc_id", "p2")
+    runs = a.join(side(both, few_pairs), "t1").join(b, ["t2", "doc_id"]).filter(phrase(F.col("p1"), F.col("p2")))
+    runs = runs.select("doc_id", F.inline("asked")).groupBy("query_id", "doc_id").agg(F.sum("times").alias("phrase_hits"))
     rows = got.join(index.doc_lengths, "doc_id", "left").join(grams, ["query_id", "doc_id"], "left").join(runs, ["query_id", "doc_id"], "left")
     if ranks is None:
         rows = rows.withColumn("rank", F.lit(0.0))
