@@ -2,12 +2,14 @@ import json
 import math
 import random
 import time
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 
 from webrank.operators import crawl, dedup, graph, index, search
 from webrank.operators.index import IndexTables
+from webrank.sources import pages
 from webrank.sources.pages import download, read_json, table_fetcher
 from webrank.streaming.incremental import compact, index_stream
 
@@ -96,7 +98,7 @@ def test_crawl_reaches_all(spark, site):
 @pytest.fixture
 def chain(spark, monkeypatch):
     """Fetches of p0 ... p(n - 1), each with a link to the next; the scraping rules, tested above, are left out."""
-    monkeypatch.setattr(crawl, "scrape", lambda responses, *_: responses.filter("status = 200").select(F.col("url").alias("source"), F.decode("body", "UTF-8").alias("url")))
+    monkeypatch.setattr(crawl, "scrape", lambda responses, *_: responses.filter("status = 200").select(F.col("url").alias("source"), F.decode("body", "UTF-8").alias("url"), F.lit(True).alias("ok")))
     monkeypatch.setattr(crawl, "bad_urls", lambda responses: responses.select("url").limit(0))
     for name, rule in {"url_hash": F.sha1, "normalize_frontier": lambda url: url, "hostname": lambda url: F.lit("a.com"), "valid_seed": lambda url: url.isNotNull()}.items():
         monkeypatch.setattr(crawl.U, name, rule)
@@ -129,7 +131,7 @@ def test_crawl_resumes(spark, chain, tmp_path):
 def test_politeness(spark):
     urls = spark.createDataFrame([(f"http://127.0.0.1:9/{i}",) for i in range(3)], "url string").coalesce(1)
     start = time.monotonic()
-    assert download(urls, "x", politeness=1.5).filter("status = 602").count() == 3 and time.monotonic() - start >= 3
+    assert download(urls, "x", politeness=1.5).filter("status = 601").count() == 3 and time.monotonic() - start >= 3
 
 
 def test_stream_equals_batch(spark, site, tmp_path):
@@ -137,3 +139,40 @@ def test_stream_equals_batch(spark, site, tmp_path):
     compact(spark, f"{tmp_path}/part", f"{tmp_path}/whole")
     terms = {r.term: r.df for r in spark.read.parquet(f"{tmp_path}/whole/dictionary").collect()}
     assert terms["word1"] == 3 and terms["other"] == 2 and spark.read.parquet(f"{tmp_path}/whole/doc_table").count() == 3
+
+
+def test_variants_count_over_rounds(spark):
+    """20 distinct queries of a host and path are accepted in a whole crawl, in whatever rounds they come."""
+    rows = lambda xs: crawl.with_variant(spark.createDataFrame([(f"http://a.com/p?x={x}" if x else "http://a.com/p", i) for i, x in enumerate(xs)], "url string, arrival int"))
+    ok = lambda xs, seen=None: [r.ok for r in crawl.within_limit(rows(xs), "arrival", 20, seen).orderBy("arrival").collect()]
+    first = [*range(1, 16), 3]
+    assert all(ok(first))
+    seen = rows(first).select("_k", "_q").distinct()
+    assert ok([16, 3, 17, 18, 19, 20, 0, 21, 16, 0], seen) == [True] * 7 + [False, False, True]
+    seen = rows(range(1, 23)).select("_k", "_q").distinct()
+    assert ok([1, 0, 30], seen) == [False, True, False]
+    both = crawl.too_many_variants(rows([*range(1, 30), 2, 0]).select("url", "arrival")).orderBy("arrival").collect()
+    assert [not r.too_many for r in both] == ok([*range(1, 30), 2, 0])
+
+
+def test_pages_of_a_crawl_are_read_by_the_index(spark, tmp_path):
+    rows = [("http://a.com/1", "old", 1), ("http://a.com/1", "new", 2), ("http://a.com/2", "two", 1)]
+    pages.write_pages(spark.createDataFrame(rows, "url string, content string, arrival int"), str(tmp_path))
+    pages.write_pages(spark.createDataFrame([("http://a.com/2", "later", 3)], "url string, content string, arrival int"), str(tmp_path))
+    got = {r.url: r.content for r in pages.read_pages(spark, str(tmp_path)).collect()}
+    assert got == {"http://a.com/1": "new", "http://a.com/2": "later"}
+
+
+def test_failures_have_their_statuses():
+    assert [pages.failure(e) for e in (TimeoutError(), urllib.error.URLError(TimeoutError()), urllib.error.URLError("refused"), ConnectionResetError(), ValueError())] == [602, 602, 601, 601, 603]
+
+
+def test_fingerprints_meet_by_blocks(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(0, 6))) for b in base for _ in range(5)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(prints)], "doc_id long, fingerprint long")
+    got = {tuple(r) for r in dedup.near_duplicates(rows).collect()}
+    want = {(i, j, bin(x ^ y).count("1")) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if x >> 52 == y >> 52 and bin(x ^ y).count("1") <= 3}
+    assert got == want and len(want) > 20
