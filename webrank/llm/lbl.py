@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import give_back, kth_largest, lower_az, materialize, new_path, row_id, row_key, runs, words, worker_memory
+from webrank.llm.common import bounded_batches, give_back, kth_largest, lower_az, materialize, new_path, row_id, row_key, runs, words, worker_memory
 
 #: Dimensions; noise classes and noise words of a token; tokens of a step.
 DIM, NOISE, INNER, BATCH = 12, 48, 48, 1 << 14
@@ -504,7 +504,7 @@ def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     rows get a row each.  Without training documents all words are unknown; an empty table gives no rows.
     """
     path = new_path(docs.sparkSession, "lm-tokens")
-    hashed(docs).write.option("parquet.dictionary.page.size", 16 << 20).parquet(path)  # most hashes repeat: a dictionary keeps them small
+    hashed(bounded_batches(docs)).write.option("parquet.dictionary.page.size", 16 << 20).parquet(path)  # most hashes repeat: a dictionary keeps them small
     tokens = docs.sparkSession.read.parquet(path)
     counts = word_counts(tokens)
     v = vocabulary(counts, tokens.filter("not held_out").count())

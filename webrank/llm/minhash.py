@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import give_back, lower_az, materialize, runs, small, words, worker_memory
+from webrank.llm.common import bounded_batches, give_back, lower_az, materialize, runs, small, words, worker_memory
 
 REGISTERS, ROWS = 128, 4
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -104,7 +104,7 @@ def each_list(batch: pa.RecordBatch):
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.transform(words(lower_az(F.coalesce("text", F.lit("")))), lambda w: F.xxhash64(w)).alias("h"))
+    return bounded_batches(docs).select("doc_id", F.transform(words(lower_az(F.coalesce("text", F.lit("")))), lambda w: F.xxhash64(w)).alias("h"))
 
 
 def name(s: np.ndarray) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import give_back, materialize, runs, worker_memory
+from webrank.llm.common import bounded_batches, give_back, materialize, runs, worker_memory
 
 CAPACITY = 4096
 END = 1
@@ -44,6 +45,7 @@ class Encoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would keep memory of their own
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -135,7 +137,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     columns = ["doc_id", "row", "piece", "start", "length", "ids"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInArrow(cut, "doc_id string, row long, piece int, start long, length long, ids binary")
+    out = bounded_batches(rows).mapInArrow(cut, "doc_id string, row long, piece int, start long, length long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.common import LOWER, UPPER, materialize, runs
+from webrank.llm.common import LOWER, UPPER, bounded_batches, materialize, runs
 
 #: Longest context of a character; a context counts if it has been seen FEWEST times, else the next shorter one does.
 ORDER, FEWEST = 6, 4
@@ -159,7 +159,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], beta: float = 4.
     Repeated rows get a row each; an empty table gives none.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    rows = bounded_batches(pages).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("_verdict"))
     rows = rows.withColumn("_held", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0)
