@@ -18,7 +18,7 @@ from webrank.llm.common import bounded_batches, give_back, materialize, runs, wo
 CAPACITY = 4096
 END = 1
 #: Bound on the words that a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Letters that neither normalisation nor the pre-tokeniser splits, and marks that stay together after them.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?"
