@@ -11,11 +11,11 @@ from webrank.plans import catalog
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["tokenize_stats", "search_full", "near_duplicates", "url_normalize_crawl", "page_weighted_tf"])
+@pytest.mark.parametrize("name", ["tokenize_stats", "search_full", "near_duplicates", "url_normalize_crawl", "page_weighted_tf", "keep_first_pages", "search_benchmark", "html_next_links", "html_visible_text"])
 def test_query_equals_sql(spark, name):
     got = catalog.queries()[name](spark, DIR)
     con = duckdb.connect()
-    for table in ("documents", "pages", "lineitem", "part"):
+    for table in ("documents", "pages", "benchmark", "lineitem", "part"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     want = con.sql(catalog.oracle_sql()[name])
     columns = sorted(got.columns)

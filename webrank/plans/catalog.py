@@ -115,7 +115,7 @@ def search_full(spark, d):
 def search_benchmark(spark, d):
     """Every benchmark item as a query."""
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    return search.search(items, index.index_documents(documents(spark, d)), digits=6).select("query_id", "place", "doc_id", "score")
+    return search.search(items, index.index_documents(documents(spark, d)), digits=6).select("query_id", F.col("place").cast("long").alias("place"), "doc_id", "score")
 
 
 def phrase_docs(spark, d):
@@ -226,7 +226,7 @@ def page_index_summary(spark, d):
 def page_search(spark, d):
     built = index.build_index(P.from_table(pages(spark, d)), stem=False)
     ranks = graph.pagerank(graph.link_graph(built.links, built.doc_table), built.doc_table)
-    return search.search(query_table(spark), built, ranks, digits=6)
+    return search.search(query_table(spark), built, ranks, digits=6).withColumn("place", F.col("place").cast("long"))
 
 
 def stemmed_terms(spark, d):
@@ -308,18 +308,29 @@ def _values(rows) -> str:
     return ", ".join(f"({i}, '{text}')" for i, text in rows)
 
 
-SCORES = (
-    f"q(query_id, text) AS (VALUES {_values(QUERIES)}), {T}, {LENGTHS}, "
-    "p AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf, list(pos) AS ps FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), total AS (SELECT count(*) AS n FROM documents), "
-    f"qt AS (SELECT query_id, unnest({TOK.format('text')}) AS term, generate_subscripts({TOK.format('text')}, 1) AS pos FROM q), "
-    "w AS (SELECT query_id, term, (1 + log10(qtf)) * log10(n / df) AS weight, row_number() OVER (PARTITION BY query_id ORDER BY log10(n / df) DESC, first) AS rk FROM (SELECT query_id, term, count(*) AS qtf, min(pos) AS first FROM qt GROUP BY ALL) JOIN df USING (term), total), "
-    "hits AS MATERIALIZED (SELECT query_id, doc_id, term, weight, rk, tf, ps FROM w JOIN p USING (term)), "
-    "g AS (SELECT query_id, doc_id, sum((1 + log10(tf)) * weight) AS dot, count(*) AS matched, min(rk) AS rk FROM hits GROUP BY ALL), "
-    "pr AS (SELECT query_id, t1, t2, count(*) AS times FROM (SELECT query_id, term AS t1, lead(term) OVER (PARTITION BY query_id ORDER BY pos) AS t2 FROM qt) WHERE t2 IS NOT NULL GROUP BY ALL), "
-    "ad AS MATERIALIZED (SELECT DISTINCT doc_id, t1, t2 FROM (SELECT doc_id, term AS t1, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM t) WHERE t2 IS NOT NULL), "
-    "bi AS (SELECT query_id, doc_id, sum(times)::BIGINT AS hits FROM pr JOIN ad USING (t1, t2) GROUP BY ALL), "
-    "z AS (SELECT query_id, doc_id, dot / length AS tfidf, matched, coalesce(bi.hits, 0) AS bh, rk, dot / length + 0.05 * matched + 1.5 * coalesce(bi.hits, 0) AS score FROM g JOIN len USING (doc_id) LEFT JOIN bi USING (query_id, doc_id))"
-)
+def _adjacent(name: str, rows: str) -> str:
+    pairs = f"SELECT DISTINCT doc_id, t1, t2 FROM (SELECT doc_id, term AS t1, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM {rows}) WHERE t2 IS NOT NULL"
+    return f"{name}_ad AS MATERIALIZED ({pairs}), {name} AS (SELECT query_id, doc_id, sum(times)::BIGINT AS hits FROM pr JOIN {name}_ad USING (t1, t2) GROUP BY ALL)"
+
+
+def _scores(asked: str, tokens: str = f"{T}, {LENGTHS}", body: str = "t", table: str = "documents", rank: str = "0") -> str:
+    """z(query_id, doc_id, tfidf, matched, bh, rk, score) of the queries `asked`; `body` has the rows of t that bigrams are made of."""
+    return (
+        f"q(query_id, text) AS ({asked}), {tokens}, "
+        f"p AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), total AS (SELECT count(*) AS n FROM {table}), "
+        f"qt AS (SELECT query_id, unnest({TOK.format('text')}) AS term, generate_subscripts({TOK.format('text')}, 1) AS pos FROM q), "
+        "w AS (SELECT query_id, term, (1 + log10(qtf)) * log10(n / df) AS weight, row_number() OVER (PARTITION BY query_id ORDER BY log10(n / df) DESC, first) AS rk FROM (SELECT query_id, term, count(*) AS qtf, min(pos) AS first FROM qt GROUP BY ALL) JOIN df USING (term), total), "
+        "hits AS MATERIALIZED (SELECT query_id, doc_id, term, weight, rk, tf FROM w JOIN p USING (term)), "
+        "g AS (SELECT query_id, doc_id, sum((1 + log10(tf)) * weight) AS dot, count(*) AS matched, min(rk) AS rk FROM hits GROUP BY ALL), "
+        "pr AS (SELECT query_id, t1, t2, count(*) AS times FROM (SELECT query_id, term AS t1, lead(term) OVER (PARTITION BY query_id ORDER BY pos) AS t2 FROM qt) WHERE t2 IS NOT NULL GROUP BY ALL), "
+        f"{_adjacent('bi', body)}, {_adjacent('ph', 't')}, "
+        f"z AS (SELECT query_id, doc_id, dot / length AS tfidf, matched, coalesce(bi.hits, 0) AS bh, rk, dot / length + 0.05 * matched + {Settings().bigram_bonus} * coalesce(bi.hits, 0) + {Settings().phrase_bonus} * coalesce(ph.hits, 0) + {Settings().rank_weight} * {rank} AS score "
+        "FROM total, g JOIN len USING (doc_id) LEFT JOIN bi USING (query_id, doc_id) LEFT JOIN ph USING (query_id, doc_id))"
+    )
+
+
+PLACES = "y AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rk, doc_id) AS place FROM z)"
+SCORES = _scores(f"VALUES {_values(QUERIES)}")
 SCHEME, NETLOC, PATH, QUERY, FRAGMENT = (rf"coalesce(regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$', {i}), '')" for i in range(1, 6))
 HOST = f"lower(regexp_extract({NETLOC}, '^[^:]*'))"
 BASE = f"lower({SCHEME}) || '://' || lower({NETLOC})"
@@ -329,10 +340,15 @@ QUOTED = lambda xs: ", ".join(f"'{x}'" for x in xs)
 KEPT_QUERY = f"array_to_string(list_sort(list_filter(list_filter(string_split({QUERY}, '&'), lambda x: contains(x, '=') AND split_part(x, '=', 2) <> ''), lambda x: NOT list_contains([{QUOTED(TRAP_QUERY_KEYS)}], lower(split_part(x, '=', 1)))))[1:6], '&')"
 UNESCAPE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 CUT = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs')"
+BARE = "regexp_replace(html, '<!--.*?-->|" + "|".join(f"<{x}[ >].*?</{x}>" for x in ("script", "style", "noscript", "header", "footer", "nav", "aside")) + "', '<>', 'gs')"
 PAGES = "u AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END AS k, text FROM documents), a AS MATERIALIZED (SELECT k, min(doc_id) AS arrival, arg_min(coalesce(text, ''), doc_id) AS text FROM u GROUP BY k), aw AS MATERIALIZED (SELECT k, arrival, list_filter(" + TOK.format("text") + ", lambda t: NOT regexp_full_match(t, '[0-9]+')) AS w FROM a)"
 CANON = "'http://www.h' || (k % 40) || '.uci.edu/d/' || k"
 DERIVED = "ti AS (SELECT page_id AS rank, coalesce(" + _collapse(UNESCAPE.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")) + ", '') AS text FROM pages), n AS (SELECT count(*) AS n FROM pages), li AS (SELECT rank, unnest([rank, (rank * 3 + 1) % n]) AS dst, text FROM ti, n)"
 
+FIELDS = f"""a AS (SELECT page_id, {CUT} AS h FROM pages), b AS (SELECT page_id, h, regexp_replace(regexp_replace(regexp_replace(h, '<title>.*?</title>', ' ', 'gs'), '<h1>.*?</h1>', ' ', 'gs'), '<b>[^<]*<br>', ' ', 'g') AS rest FROM a),
+    f AS (SELECT page_id, 1 AS k, 3.0 AS w, regexp_extract(h, '<title>(.*?)</title>', 1, 's') AS x FROM b UNION ALL SELECT page_id, 2, 2.0, regexp_extract(h, '<h1>(.*?)</h1>', 1, 's') FROM b UNION ALL SELECT page_id, 3, 1.5, array_to_string(regexp_extract_all(h, '<b>([^<]*)<br>', 1), ' ') FROM b UNION ALL SELECT page_id, 4, 1.0, regexp_replace(rest, '<[^>]*>', ' ', 'g') FROM b)"""
+FIELD_TOKENS = f"ft AS MATERIALIZED (SELECT page_id, k, w, unnest({TOK.format(UNESCAPE.format('x'))}) AS term, generate_subscripts({TOK.format(UNESCAPE.format('x'))}, 1) AS j FROM f)"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -342,13 +358,20 @@ def oracle_sql() -> dict[str, str]:
         "doc_lengths": f"WITH {T}, {LENGTHS} SELECT d.doc_id, round(coalesce(length, 0), 6) AS length FROM documents d LEFT JOIN len USING (doc_id)",
         "body_bigrams": f"WITH {T} SELECT doc_id, a || '_' || b AS bigram, count(*) AS n FROM (SELECT doc_id, term AS a, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t) WHERE b IS NOT NULL GROUP BY ALL",
         "exact_duplicates": f"WITH {HASHES} SELECT doc_id, kept_doc_id FROM k WHERE doc_id <> kept_doc_id",
+        "keep_first_pages": f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id AS rank, {HOST} AS url, (length(html) % 97)::VARCHAR AS hash FROM pages),
+            s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS rank, '' AS state, NULL::BIGINT AS kept_rank, []::VARCHAR[] AS urls, []::VARCHAR[] AS hashes, []::BIGINT[] AS kept
+            UNION ALL SELECT r.i, r.rank, CASE WHEN list_contains(urls, url) THEN 'url' WHEN list_contains(hashes, hash) THEN 'hash' ELSE 'kept' END,
+            CASE WHEN list_contains(urls, url) THEN kept[list_position(urls, url)] WHEN list_contains(hashes, hash) THEN kept[list_position(hashes, hash)] ELSE r.rank END,
+            CASE WHEN list_contains(urls, url) OR list_contains(hashes, hash) THEN urls ELSE list_append(urls, url) END, CASE WHEN list_contains(urls, url) OR list_contains(hashes, hash) THEN hashes ELSE list_append(hashes, hash) END,
+            CASE WHEN list_contains(urls, url) OR list_contains(hashes, hash) THEN kept ELSE list_append(kept, r.rank) END FROM s JOIN r ON r.i = s.i + 1) SELECT rank, state, kept_rank FROM s WHERE i > 0""",
         "simhash_fingerprints": f"WITH {PRINTS} SELECT doc_id, fp::VARCHAR AS fingerprint FROM f",
         "near_duplicates": f"WITH {PRINTS} {NEAR.format('f')}",
         "near_duplicates_kept": f"WITH {PRINTS}, {HASHES}, fk AS MATERIALIZED (SELECT f.* FROM f JOIN k USING (doc_id) WHERE doc_id = kept_doc_id) {NEAR.format('fk')}",
         "pagerank_parts": _pagerank_sql(),
         "out_degrees": f"WITH {EDGES} SELECT src, count(*) AS degree FROM e GROUP BY src",
         "search_tfidf": f"WITH {SCORES} SELECT query_id, doc_id, round(tfidf, 6) AS tfidf, matched FROM z",
-        "search_full": f"WITH {SCORES}, y AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rk, doc_id) AS place FROM z) SELECT query_id, place, doc_id, 'doc:' || doc_id AS url, score FROM y WHERE place <= 15",
+        "search_full": f"WITH {SCORES}, {PLACES} SELECT query_id, place, doc_id, 'doc:' || doc_id AS url, score FROM y WHERE place <= 15",
+        "search_benchmark": f"WITH {_scores('SELECT item_id, text FROM benchmark')}, {PLACES} SELECT query_id, place, doc_id, score FROM y WHERE place <= 15",
         "phrase_docs": f"WITH {SCORES} SELECT query_id, doc_id, bh AS hits FROM z WHERE bh > 0",
         "bigram_docs": f"WITH {SCORES} SELECT query_id, doc_id, bh AS hits FROM z WHERE bh > 0",
         "url_normalize_index": f"SELECT page_id, {BASE} || {RTRIM} || CASE WHEN {QUERY} <> '' THEN '?' || {QUERY} ELSE '' END AS url FROM pages",
@@ -363,6 +386,8 @@ def oracle_sql() -> dict[str, str]:
         "html_headings": f"SELECT page_id, {_collapse(UNESCAPE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))} AS headings FROM pages",
         "html_bold": f"SELECT page_id, {_collapse(UNESCAPE.format("array_to_string(regexp_extract_all(html, '<b>([^<]*)<br>', 1), ' ')"))} AS bold FROM pages",
         "html_links": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS i FROM pages) SELECT page_id, i, {BASE} || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS target, {_collapse(UNESCAPE.format('text'))} AS text FROM l""",
+        "html_next_links": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT DISTINCT page_id, {SCHEME} || '://' || {NETLOC} || regexp_replace({UNESCAPE.format('trim(href)')}, '#.*', '') AS url FROM l WHERE trim(href) <> ''""",
+        "html_visible_text": f"WITH h AS (SELECT page_id, {BARE} AS h FROM pages), s AS (SELECT page_id, list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda x: regexp_replace({UNESCAPE.format('x')}, '^{BLANK}|{BLANK}$', '', 'g')), lambda x: x <> '') AS x FROM h) SELECT page_id, array_to_string(x, ' ') AS text FROM s",
         "anchor_terms": f"WITH {DERIVED}, x AS (SELECT dst, unnest({TOK.format('text')}) AS term FROM li WHERE rank <= dst) SELECT dst AS doc_id, term, 2.0 * count(*) AS weight FROM x GROUP BY ALL",
         "orphan_anchors": f"WITH {DERIVED} SELECT DISTINCT 'p' || dst AS url FROM li WHERE rank > dst",
         "link_graph_edges": f"WITH {DERIVED} SELECT DISTINCT rank AS src, dst FROM li WHERE rank <> dst",
@@ -372,9 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "analytics_top_stop_words": f"WITH {PAGES} SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM aw) WHERE word IN ({QUOTED(STOP_WORDS)}) GROUP BY word ORDER BY n DESC, word LIMIT 50",
         "analytics_hosts": f"WITH {PAGES} SELECT 'h' || (k % 40) || '.uci.edu' AS host, count(*) AS pages FROM a GROUP BY ALL",
         "content_words": f"SELECT doc_id, len(list_filter(w, lambda t: NOT list_contains([{QUOTED(STOP_WORDS)}], t)))::BIGINT AS content, len(w)::BIGINT AS words FROM (SELECT doc_id, list_filter({TOK.format('text')}, lambda t: NOT regexp_full_match(t, '[0-9]+')) AS w FROM documents)",
-        "page_weighted_tf": f"""WITH a AS (SELECT page_id, {CUT} AS h FROM pages), b AS (SELECT page_id, h, regexp_replace(regexp_replace(regexp_replace(h, '<title>.*?</title>', ' ', 'gs'), '<h1>.*?</h1>', ' ', 'gs'), '<b>[^<]*<br>', ' ', 'g') AS rest FROM a),
-            f AS (SELECT page_id, 3.0 AS w, regexp_extract(h, '<title>(.*?)</title>', 1, 's') AS x FROM b UNION ALL SELECT page_id, 2.0, regexp_extract(h, '<h1>(.*?)</h1>', 1, 's') FROM b UNION ALL SELECT page_id, 1.5, array_to_string(regexp_extract_all(h, '<b>([^<]*)<br>', 1), ' ') FROM b UNION ALL SELECT page_id, 1.0, regexp_replace(rest, '<[^>]*>', ' ', 'g') FROM b),
-            t AS (SELECT page_id, w, unnest({TOK.format(UNESCAPE.format('x'))}) AS term FROM f) SELECT page_id, term, sum(w)::DOUBLE AS weight FROM t GROUP BY ALL""",
+        "page_weighted_tf": f"WITH {FIELDS}, {FIELD_TOKENS} SELECT page_id, term, sum(w)::DOUBLE AS weight FROM ft GROUP BY ALL",
     }
 
 
