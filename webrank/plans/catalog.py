@@ -295,13 +295,14 @@ NEAR = "SELECT b.doc_id, a.doc_id AS prior_doc_id, bit_count(xor(a.fp, b.fp))::B
 EDGES = "e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL AND src <> dst)"
 
 
-def _pagerank_sql() -> str:
-    steps = ["n AS (SELECT count(*) AS n FROM part)", EDGES, "o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT p_partkey AS v, 1.0::DOUBLE / n AS s FROM part, n)"]
+def _pagerank_sql(nodes: str = "SELECT p_partkey FROM part", edges: str = EDGES) -> str:
+    """CTEs up to r20(v, s) over nodes and e(src, dst)."""
+    steps = [edges, f"nodes(v) AS ({nodes})", "nn AS (SELECT count(*) AS nodes FROM nodes)", "o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / nodes AS s FROM nodes, nn)"]
     for i in range(20):
         got = f"SELECT dst AS v, sum(s / c) AS g FROM e JOIN o USING (src) JOIN r{i} ON r{i}.v = src GROUP BY dst"
         lost = f"(SELECT coalesce(sum(s), 0) FROM r{i} WHERE v NOT IN (SELECT src FROM o))"
-        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT r{i}.v, 0.15 / n + 0.85 * (coalesce(g, 0) + {lost} / n) AS s FROM n, r{i} LEFT JOIN ({got}) q ON q.v = r{i}.v)")
-    return "WITH " + ", ".join(steps) + " SELECT v AS doc_id, round(s, 9) AS score FROM r20"
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT r{i}.v, 0.15 / nodes + 0.85 * (coalesce(g, 0) + {lost} / nodes) AS s FROM nn, r{i} LEFT JOIN ({got}) q ON q.v = r{i}.v)")
+    return ", ".join(steps)
 
 
 def _values(rows) -> str:
@@ -349,6 +350,17 @@ FIELDS = f"""a AS (SELECT page_id, {CUT} AS h FROM pages), b AS (SELECT page_id,
     f AS (SELECT page_id, 1 AS k, 3.0 AS w, regexp_extract(h, '<title>(.*?)</title>', 1, 's') AS x FROM b UNION ALL SELECT page_id, 2, 2.0, regexp_extract(h, '<h1>(.*?)</h1>', 1, 's') FROM b UNION ALL SELECT page_id, 3, 1.5, array_to_string(regexp_extract_all(h, '<b>([^<]*)<br>', 1), ' ') FROM b UNION ALL SELECT page_id, 4, 1.0, regexp_replace(rest, '<[^>]*>', ' ', 'g') FROM b)"""
 FIELD_TOKENS = f"ft AS MATERIALIZED (SELECT page_id, k, w, unnest({TOK.format(UNESCAPE.format('x'))}) AS term, generate_subscripts({TOK.format(UNESCAPE.format('x'))}, 1) AS j FROM f)"
 
+LINKS = f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS i FROM pages) SELECT page_id, i, {BASE} || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS target, {_collapse(UNESCAPE.format('text'))} AS text FROM l"""
+#: The first page of each URL is kept (no page repeats another's text); anchors count where their page isn't scanned after its target.
+PAGE_TOKENS = (
+    f"{FIELDS}, {FIELD_TOKENS}, raw AS (SELECT page_id, sha1(url) AS path, {BASE} || {RTRIM} || CASE WHEN {QUERY} <> '' THEN '?' || {QUERY} ELSE '' END AS url FROM pages), ids AS MATERIALIZED (SELECT page_id, url, row_number() OVER (ORDER BY path) - 1 AS doc_id FROM (FROM raw QUALIFY row_number() OVER (PARTITION BY url ORDER BY path) = 1)), "
+    f"links AS MATERIALIZED (SELECT s.doc_id AS src, d.doc_id AS dst, text FROM ({LINKS}) JOIN ids s USING (page_id) JOIN ids d ON d.url = target WHERE text <> ''), "
+    + _pagerank_sql("SELECT doc_id FROM ids", "e AS MATERIALIZED (SELECT DISTINCT src, dst FROM links WHERE src <> dst)")
+    + ", t AS MATERIALIZED (SELECT doc_id, k, w, term, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS pos FROM ft JOIN ids USING (page_id)), "
+    + f"anchors AS (SELECT dst AS doc_id, unnest({TOK.format('text')}) AS term, 2.0 AS w FROM links WHERE src <= dst), "
+    + "len AS (SELECT doc_id, sqrt(sum(pow(1 + log10(n), 2))) AS length FROM (SELECT doc_id, term, sum(w)::DOUBLE AS n FROM (SELECT doc_id, term, w FROM t UNION ALL FROM anchors) GROUP BY ALL) GROUP BY doc_id)"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -367,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "simhash_fingerprints": f"WITH {PRINTS} SELECT doc_id, fp::VARCHAR AS fingerprint FROM f",
         "near_duplicates": f"WITH {PRINTS} {NEAR.format('f')}",
         "near_duplicates_kept": f"WITH {PRINTS}, {HASHES}, fk AS MATERIALIZED (SELECT f.* FROM f JOIN k USING (doc_id) WHERE doc_id = kept_doc_id) {NEAR.format('fk')}",
-        "pagerank_parts": _pagerank_sql(),
+        "pagerank_parts": f"WITH {_pagerank_sql()} SELECT v AS doc_id, round(s, 9) AS score FROM r20",
         "out_degrees": f"WITH {EDGES} SELECT src, count(*) AS degree FROM e GROUP BY src",
         "search_tfidf": f"WITH {SCORES} SELECT query_id, doc_id, round(tfidf, 6) AS tfidf, matched FROM z",
         "search_full": f"WITH {SCORES}, {PLACES} SELECT query_id, place, doc_id, 'doc:' || doc_id AS url, score FROM y WHERE place <= 15",
@@ -385,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "html_title": f"SELECT page_id, {_collapse(UNESCAPE.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))} AS title FROM pages",
         "html_headings": f"SELECT page_id, {_collapse(UNESCAPE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))} AS headings FROM pages",
         "html_bold": f"SELECT page_id, {_collapse(UNESCAPE.format("array_to_string(regexp_extract_all(html, '<b>([^<]*)<br>', 1), ' ')"))} AS bold FROM pages",
-        "html_links": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS i FROM pages) SELECT page_id, i, {BASE} || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS target, {_collapse(UNESCAPE.format('text'))} AS text FROM l""",
+        "html_links": LINKS,
         "html_next_links": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT DISTINCT page_id, {SCHEME} || '://' || {NETLOC} || regexp_replace({UNESCAPE.format('trim(href)')}, '#.*', '') AS url FROM l WHERE trim(href) <> ''""",
         "html_visible_text": f"WITH h AS (SELECT page_id, {BARE} AS h FROM pages), s AS (SELECT page_id, list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda x: regexp_replace({UNESCAPE.format('x')}, '^{BLANK}|{BLANK}$', '', 'g')), lambda x: x <> '') AS x FROM h) SELECT page_id, array_to_string(x, ' ') AS text FROM s",
         "anchor_terms": f"WITH {DERIVED}, x AS (SELECT dst, unnest({TOK.format('text')}) AS term FROM li WHERE rank <= dst) SELECT dst AS doc_id, term, 2.0 * count(*) AS weight FROM x GROUP BY ALL",
@@ -398,6 +410,7 @@ def oracle_sql() -> dict[str, str]:
         "analytics_hosts": f"WITH {PAGES} SELECT 'h' || (k % 40) || '.uci.edu' AS host, count(*) AS pages FROM a GROUP BY ALL",
         "content_words": f"SELECT doc_id, len(list_filter(w, lambda t: NOT list_contains([{QUOTED(STOP_WORDS)}], t)))::BIGINT AS content, len(w)::BIGINT AS words FROM (SELECT doc_id, list_filter({TOK.format('text')}, lambda t: NOT regexp_full_match(t, '[0-9]+')) AS w FROM documents)",
         "page_weighted_tf": f"WITH {FIELDS}, {FIELD_TOKENS} SELECT page_id, term, sum(w)::DOUBLE AS weight FROM ft GROUP BY ALL",
+        "page_search": f"WITH {_scores(f'VALUES {_values(QUERIES)}', PAGE_TOKENS, '(SELECT * FROM t WHERE k = 4)', 'ids', '(SELECT s FROM r20 WHERE v = doc_id)')}, {PLACES} SELECT query_id, place, doc_id, url, score FROM y JOIN ids USING (doc_id) WHERE place <= 15",
     }
 
 
