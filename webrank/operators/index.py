@@ -142,8 +142,10 @@ def build_index(pages: DataFrame, stem: bool = True, settings: Settings = Settin
     post = materialize(postings(tokens), "postings")
     stats = kept.agg(F.lit("total_docs").alias("key"), F.count("*").alias("value"))
     summary = stats.union(post.agg(F.lit("postings"), F.count("*"))).union(orphans(usable, kept).agg(F.lit("orphan_anchor_targets"), F.count("*")))
+    terms = dictionary(post)
+    summary = summary.union(terms.agg(F.lit("distinct_terms"), F.count("*")))
     return IndexTables(
-        names, post, dictionary(post), doc_lengths(names, counts), stats, bigrams(tokens), exact.select("url", "kept_doc_id", "kept_url"),
+        names, post, terms, doc_lengths(names, counts), stats, bigrams(tokens), exact.select("url", "kept_doc_id", "kept_url"),
         near.select("doc_id", "url", "prior_doc_id", "prior_url", "distance"), links.select(F.col("url").alias("source"), "target", "text"), summary,
     )
 
