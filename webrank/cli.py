@@ -32,6 +32,7 @@ def main(args: list[str] | None = None) -> None:
         config = CrawlConfig.read(o.config)
         seeds = spark.createDataFrame([(x,) for x in config.seeds], "url string")
         pages = C.crawl(spark, seeds, lambda urls: download(urls, config.user_agent, politeness=config.politeness), state=f"{o.index}/frontier", threads=config.threads)
+        logging.info("%d pages fetched, of any status, in all rounds of the crawl", pages.count())
         write_pages(pages.filter("status = 200").select("url", to_text("body").alias("content")), o.pages)
     elif o.command == "build-index":
         build_index(read_pages(spark, o.pages)).save(o.index)
