@@ -68,3 +68,15 @@ def test_html():
     assert got["links"] == [{"target": "http://e.com/t", "text": "go on"}]
     assert html.links_of("http://e.com/a/", page) == ["http://e.com/t", "http://e.com/img"]
     assert html.fields_of("", None)["body"] == "" and Settings().top_k == 15
+
+
+def test_references_need_their_semicolon():
+    got = html.fields_of("http://a.com/", "<title>a&amp;&amp&copy2 &#65; &lt;&nope; &notit;</title><h1>b &amp</h1><p>c & d &quot;</p><xmp>e & f</xmp><a href='/?x=1&amp;y=2&amp'>&middot</a>")
+    assert got["title"] == "a&&amp&copy2 A <&nope; &notit;" and got["headings"] == "b &amp"
+    assert got["body"] == 'c & d " e & f &middot'
+    assert got["links"] == [{"target": "http://a.com/?x=1&y=2&amp", "text": "&middot"}]
+
+
+def test_visible_text_keeps_cut_references(spark):
+    rows = spark.createDataFrame([("<h1>a&amp;&amp</h1><p>b &copy; &cop</p>",)], "html string")
+    assert rows.select(html.visible_text("html").alias("t")).first().t == "a&&amp b © &cop"
