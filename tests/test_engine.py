@@ -176,3 +176,21 @@ def test_fingerprints_meet_by_blocks(spark):
     got = {tuple(r) for r in dedup.near_duplicates(rows).collect()}
     want = {(i, j, bin(x ^ y).count("1")) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if x >> 52 == y >> 52 and bin(x ^ y).count("1") <= 3}
     assert got == want and len(want) > 20
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4], [0, 1, 0, 3, 3]])
+def test_documents_are_counted_within_their_rows(spark, ids):
+    texts = ["b a b a a", "", None, "One 1 one", "z"]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    tokens = index.body_tokens(docs)
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    for got, want in [(index.body_postings(docs), index.postings(tokens)), (index.body_counts(docs), index.weighted_counts(tokens))]:
+        assert rows(got) == rows(want.select(got.columns)) and ("Exchange" in plan(got)) == (len(set(ids)) < len(ids))
+    whole = [(i, t) for i, t in zip(ids, texts) if ids.count(i) == 1]
+    whole = spark.createDataFrame(whole, "doc_id long, text string")
+    assert rows(index.body_bigrams(whole)) == rows(index.bigrams(index.body_tokens(whole)))
+    assert rows(index.counted(index.pair_items(whole), "bigram")) == rows(index.bigrams(index.body_tokens(whole)).groupBy("doc_id", "bigram").agg(F.count("*").alias("n")))

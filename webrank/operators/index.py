@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,6 +67,55 @@ def body_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "term")).select("doc_id", "term", F.lit(1.0).alias("weight"), "pos", F.col("pos").alias("body_pos"))
 
 
+def whole(docs: DataFrame) -> bool:
+    """Whether no two rows share a doc_id, so that all of a document can be counted within its row, without a shuffle."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+
+
+def run_starts(items: str, key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The places in a sorted array where a key begins."""
+    new = lambda x, i: F.when((i == 0) | ~key(x).eqNullSafe(key(F.get(items, i - 1))), i)
+    return F.array_compact(F.transform(items, new))
+
+
+def run_ends(j: Column) -> Column:
+    return F.coalesce(F.get("_starts", j + 1), F.size("_sorted"))
+
+
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    """doc_id, `name`, n: how often rows(doc_id, items) have each item."""
+    rows = rows.select("doc_id", F.sort_array("items").alias("_sorted")).select("*", run_starts("_sorted").alias("_starts"))
+    return rows.select("doc_id", F.inline(F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b).alias(name), (run_ends(j) - b).cast("long").alias("n")))))
+
+
+def body_counts(docs: DataFrame) -> DataFrame:
+    """weighted_counts() of documents(doc_id, text): within their rows, unless rows share a doc_id."""
+    if not whole(docs):
+        return weighted_counts(body_tokens(docs))
+    return counted(docs.select("doc_id", tokenize(F.col("text")).alias("items")), "term").select("doc_id", "term", F.col("n").cast("double").alias("weight"))
+
+
+def body_postings(docs: DataFrame) -> DataFrame:
+    """postings() of documents(doc_id, text): within their rows, unless rows share a doc_id."""
+    if not whole(docs):
+        return postings(body_tokens(docs))
+    placed = F.transform(tokenize(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    rows = docs.select("doc_id", F.sort_array(placed).alias("_sorted")).select("*", run_starts("_sorted", lambda x: x["term"]).alias("_starts"))
+    run = F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b)["term"].alias("term"), F.transform(F.slice("_sorted", b + 1, run_ends(j) - b), lambda x: x["pos"]).alias("positions")))
+    return rows.select("doc_id", F.inline(run)).select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+
+
+def pair_items(docs: DataFrame) -> DataFrame:
+    """doc_id, items: the adjacent pairs of each text of documents(doc_id, text)."""
+    rows = docs.select("doc_id", tokenize(F.col("text")).alias("_t"))
+    return rows.select("doc_id", F.array_compact(F.transform("_t", lambda t, i: F.when(i + 1 < F.size("_t"), F.concat(t, F.lit("_"), F.get("_t", i + 1))))).alias("items"))
+
+
+def body_bigrams(docs: DataFrame) -> DataFrame:
+    """bigrams() of documents(doc_id, text): within their rows, unless rows share a doc_id."""
+    return pair_items(docs).select("doc_id", F.explode("items").alias("bigram")) if whole(docs) else bigrams(body_tokens(docs))
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     rows = tokens.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return rows.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
@@ -135,7 +185,7 @@ def build_index(pages: DataFrame, stem: bool = True, settings: Settings = Settin
     counts = weighted_counts(tokens).union(anchor_terms(anchors, stem, settings)).groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
     counts = materialize(counts, "weighted-counts")
     prints = kept.select("doc_id").join(dedup.simhash(counts), "doc_id", "left").fillna(0, ["fingerprint"])
-    near = dedup.near_duplicates(materialize(prints, "fingerprints"), settings)
+    near = dedup.near_duplicates(prints, settings)
     names = kept.select("doc_id", "url")
     near = near.join(names, "doc_id").join(names.toDF("prior_doc_id", "prior_url"), "prior_doc_id")
     exact = state.filter("state = 'hash'").join(kept.select(F.col("rank").alias("kept_rank"), F.col("doc_id").alias("kept_doc_id"), F.col("url").alias("kept_url")), "kept_rank")
@@ -152,14 +202,13 @@ def build_index(pages: DataFrame, stem: bool = True, settings: Settings = Settin
 
 def index_documents(docs: DataFrame, ranks: DataFrame | None = None) -> IndexTables:
     """The index of plain documents(doc_id, text) as bodies, every document kept, by the plain analyzer."""
-    tokens = materialize(body_tokens(docs), "tokens")
-    post = materialize(postings(tokens), "postings")
-    counts = weighted_counts(tokens)
+    post = materialize(body_postings(docs), "postings")
+    counts = post.select("doc_id", "term", F.col("tf").cast("double").alias("weight"))
     names = docs.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"))
     none = docs.sparkSession.createDataFrame
     stats = docs.agg(F.lit("total_docs").alias("key"), F.count("*").alias("value"))
     return IndexTables(
-        names, post, dictionary(post), doc_lengths(docs, counts), stats, bigrams(tokens), none([], "url string, kept_doc_id long, kept_url string"),
+        names, post, dictionary(post), doc_lengths(docs, counts), stats, body_bigrams(docs), none([], "url string, kept_doc_id long, kept_url string"),
         none([], "doc_id long, url string, prior_doc_id long, prior_url string, distance int"), none([], "source string, target string, text string"), stats,
     )
 

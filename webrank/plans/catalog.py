@@ -40,7 +40,7 @@ def tokenize_stats(spark, d):
 
 
 def term_postings(spark, d):
-    return index.postings(tokens(spark, d)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return index.body_postings(documents(spark, d)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def dictionary_df(spark, d):
@@ -48,12 +48,13 @@ def dictionary_df(spark, d):
 
 
 def doc_lengths(spark, d):
-    counts = index.weighted_counts(tokens(spark, d))
+    counts = index.body_counts(documents(spark, d))
     return index.doc_lengths(documents(spark, d), counts).select("doc_id", F.round("length", 6).alias("length"))
 
 
 def body_bigrams(spark, d):
-    return index.bigrams(tokens(spark, d)).groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
+    docs = documents(spark, d)
+    return index.counted(index.pair_items(docs), "bigram") if index.whole(docs) else index.body_bigrams(docs).groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
 
 
 def exact_duplicates(spark, d):
@@ -71,7 +72,7 @@ def keep_first_pages(spark, d):
 
 
 def fingerprints(spark, d):
-    counts = index.weighted_counts(tokens(spark, d))
+    counts = index.body_counts(documents(spark, d))
     return documents(spark, d).select("doc_id").join(dedup.simhash(counts), "doc_id", "left").fillna(0, ["fingerprint"])
 
 
