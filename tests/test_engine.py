@@ -194,3 +194,12 @@ def test_documents_are_counted_within_their_rows(spark, ids):
     whole = spark.createDataFrame(whole, "doc_id long, text string")
     assert rows(index.body_bigrams(whole)) == rows(index.bigrams(index.body_tokens(whole)))
     assert rows(index.counted(index.pair_items(whole), "bigram")) == rows(index.bigrams(index.body_tokens(whole)).groupBy("doc_id", "bigram").agg(F.count("*").alias("n")))
+
+
+def test_pairs_of_fingerprints_are_dealt_by_rows(spark, monkeypatch):
+    """Keys take few bytes, so their partitions must not be sized by these; two blocks must agree, not one."""
+    monkeypatch.setattr(dedup, "ROWS_A_PART", 10)
+    rows = spark.createDataFrame([(i, i) for i in range(64)], "doc_id long, fingerprint long")
+    near = dedup.near_duplicates(rows)
+    assert "repartition_by_num" in plan(near).lower() and "(bucket#" in plan(near)
+    assert near.count() == sum(bin(i ^ j).count("1") <= 3 for i in range(64) for j in range(i))

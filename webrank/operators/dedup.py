@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,25 +78,32 @@ def bucket(fingerprint: Column, bits: int = 12) -> Column:
 def near_duplicates(fingerprints: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, prior_doc_id, distance of documents of one bucket that differ in few bits.
 
-    Equal fingerprints are compared once.  The bits outside the bucket are cut into one block more
-    than bits may differ, so two fingerprints within the distance agree in some block: pairs meet by
-    bucket and block, and a pair is taken at the first block in which it agrees.
+    Equal fingerprints are compared once.  The bits outside the bucket are cut into two blocks more
+    than bits may differ, so two fingerprints within the distance agree in two blocks: pairs meet by
+    bucket and two blocks, and a pair is taken at the first two in which it agrees.  Keys take few
+    bytes for the pairs they make, so their partitions are set by rows.
     """
-    rows = fingerprints.select("doc_id", "fingerprint")
-    free, blocks = 64 - settings.bucket_bits, settings.hamming + 1
+    rows = materialize(fingerprints.select("doc_id", "fingerprint"), "fingerprints")  # read four times
+    free, blocks = 64 - settings.bucket_bits, settings.hamming + 2
     ends = [free * i // blocks for i in range(blocks + 1)]
-    block = lambda f, i: F.shiftrightunsigned(f, ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
+    masks = [((1 << ends[i + 1]) - (1 << ends[i])) | ((1 << ends[j + 1]) - (1 << ends[j])) for i, j in combinations(range(blocks), 2)]
+    part = lambda f, mask: f.bitwiseAND(F.lit(mask))
+    parts = 1 + min(rows.count() // ROWS_A_PART, 4000)
     distinct = rows.select("fingerprint").distinct().withColumn("bucket", bucket(F.col("fingerprint"), settings.bucket_bits))
-    keyed = distinct.select("fingerprint", "bucket", F.posexplode(F.array(*(block(F.col("fingerprint"), i) for i in range(blocks)))).alias("i", "block"))
+    keyed = distinct.select("fingerprint", "bucket", F.posexplode(F.array(*(part(F.col("fingerprint"), m) for m in masks))).alias("i", "block")).repartition(parts, "bucket", "i", "block")
     a, b = keyed.withColumnRenamed("fingerprint", "fa"), keyed.withColumnRenamed("fingerprint", "fb")
     differ = F.col("fa").bitwiseXOR(F.col("fb"))
-    first = F.coalesce(*(F.when(block(differ, i) == 0, F.lit(i)) for i in range(blocks)))
+    first = F.coalesce(*(F.when(part(differ, m) == 0, F.lit(i)) for i, m in enumerate(masks)))
     pairs = a.join(b, ["bucket", "i", "block"]).withColumn("distance", hamming(F.col("fa"), F.col("fb")))
     pairs = pairs.filter((F.col("distance") <= settings.hamming) & (first == F.col("i"))).select("fa", "fb", "distance")
     left, right = rows.toDF("doc_id", "fa"), rows.toDF("prior_doc_id", "fb")
     return pairs.join(left, "fa").join(right, "fb").filter("prior_doc_id < doc_id").select("doc_id", "prior_doc_id", F.col("distance").cast("int").alias("distance"))
 
 
+#: Documents whose keys are compared in one task.
+ROWS_A_PART = 2000
+
+
 def dense_ids(rows: DataFrame, order: str, name: str) -> DataFrame:
     """rows with dense ids from 0 in the order of a column: sorted by ranges, then shifted by the sizes of the ranges before."""
     parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
