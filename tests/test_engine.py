@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import math
 import random
@@ -203,3 +204,15 @@ def test_pairs_of_fingerprints_are_dealt_by_rows(spark, monkeypatch):
     near = dedup.near_duplicates(rows)
     assert "repartition_by_num" in plan(near).lower() and "(bucket#" in plan(near)
     assert near.count() == sum(bin(i ^ j).count("1") <= 3 for i in range(64) for j in range(i))
+
+
+def test_bodies_alone_need_no_positions(spark):
+    """Where the body is the only field, phrases are bigrams: same rows as by positions, which aren't read; nor are token rows shuffled."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", "b a", "c a a", "", None, "d"])], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a b c"), (2, "a a"), (3, "b x a"), (4, "d d")], "query_id int, text string")
+    built = index.index_documents(docs)
+    fast = search.score(queries, built)
+    slow = search.score(queries, dataclasses.replace(built, bodies_only=False))
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    assert rows(fast) == rows(slow) and fast.filter("phrase_hits > 0").count() == 2
+    assert "positions" not in plan(fast) and "Window" not in plan(built.bigrams)

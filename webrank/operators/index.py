@@ -28,10 +28,16 @@ class IndexTables:
     near_duplicates: DataFrame
     links: DataFrame
     summary: DataFrame
+    #: Whether the body is the only field, so that a phrase is a bigram; a loaded index doesn't know.
+    bodies_only: bool = False
+
+    @classmethod
+    def tables(cls) -> list:
+        return [f for f in fields(cls) if f.name != "bodies_only"]
 
     def save(self, folder: str) -> None:
         """One Parquet table each; postings and dictionary are sorted by term, so a term's filter skips row groups."""
-        for f in fields(self):
+        for f in self.tables():
             df = getattr(self, f.name)
             if f.name in ("postings", "dictionary", "bigrams"):
                 key = "bigram" if f.name == "bigrams" else "term"
@@ -40,7 +46,7 @@ class IndexTables:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> IndexTables:
-        return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
+        return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in cls.tables()})
 
 
 def field_tokens(docs: DataFrame, stem: bool, settings: Settings = Settings()) -> DataFrame:
@@ -113,7 +119,10 @@ def pair_items(docs: DataFrame) -> DataFrame:
 
 def body_bigrams(docs: DataFrame) -> DataFrame:
     """bigrams() of documents(doc_id, text): within their rows, unless rows share a doc_id."""
-    return pair_items(docs).select("doc_id", F.explode("items").alias("bigram")) if whole(docs) else bigrams(body_tokens(docs))
+    if not whole(docs):
+        return bigrams(body_tokens(docs))
+    # an inner explode would get a filter on the arrays' size below it, in which each pair tokenizes its text again
+    return pair_items(docs).select("doc_id", F.explode_outer("items").alias("bigram")).filter("bigram is not null")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -209,7 +218,7 @@ def index_documents(docs: DataFrame, ranks: DataFrame | None = None) -> IndexTab
     stats = docs.agg(F.lit("total_docs").alias("key"), F.count("*").alias("value"))
     return IndexTables(
         names, post, dictionary(post), doc_lengths(docs, counts), stats, body_bigrams(docs), none([], "url string, kept_doc_id long, kept_url string"),
-        none([], "doc_id long, url string, prior_doc_id long, prior_url string, distance int"), none([], "source string, target string, text string"), stats,
+        none([], "doc_id long, url string, prior_doc_id long, prior_url string, distance int"), none([], "source string, target string, text string"), stats, bodies_only=True,
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,17 @@ def weights(terms: DataFrame, index: IndexTables) -> DataFrame:
     return rows.withColumn("idf", idf).select("query_id", "term", ((1 + F.log10("qtf")) * F.col("idf")).alias("weight"), F.row_number().over(order).alias("term_rank"))
 
 
+def phrases(index: IndexTables, known: DataFrame, pairs: DataFrame, side: Callable[[DataFrame, bool], DataFrame], few: bool) -> DataFrame:
+    """query_id, doc_id, times: a row per pair of known query terms that stand side by side in a document."""
+    both = pairs.join(known.select("query_id", F.col("term").alias("t1")), ["query_id", "t1"], "left_semi").join(known.select("query_id", F.col("term").alias("t2")), ["query_id", "t2"], "left_semi")
+    both = both.groupBy("t1", "t2").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
+    met = both.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
+    places = materialize(index.postings.select("term", "doc_id", "positions").join(side(met, few), "term", "left_semi"), "query-places")
+    a, b = places.toDF("t1", "doc_id", "p1"), places.toDF("t2", "doc_id", "p2")
+    runs = a.join(side(both, few), "t1").join(b, ["t2", "doc_id"]).filter(phrase(F.col("p1"), F.col("p2")))
+    return runs.select("doc_id", F.inline("asked"))
+
+
 #: Query terms, or pairs of them, up to which the index is filtered by a broadcast table.
 FEW = 1_000_000
 
@@ -50,31 +64,33 @@ def score(queries: DataFrame, index: IndexTables, ranks: DataFrame | None = None
 
     The queries' own tables are written and counted: as long as they have FEW rows they are broadcast,
     so that postings and bigrams are filtered where they are read and only what queries meet is
-    shuffled.  Positions are read for the terms of adjacent pairs alone.
+    shuffled.  Positions are read for the terms of adjacent pairs alone, and not at all where bodies
+    are the only field: their bigrams are the pairs of positions.
     """
     terms = materialize(query_terms(queries, stem), "query-terms")
     known = materialize(weights(terms, index), "query-weights")
     pairs = materialize(adjacent(terms), "query-pairs")
     few_terms, few_pairs = known.count() <= FEW, pairs.count() <= FEW
     side = lambda df, few: F.broadcast(df) if few else df
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
     hits = index.postings.select("term", "doc_id", "tf").join(side(known, few_terms), "term")
-    got = hits.groupBy("query_id", "doc_id").agg(F.sum((1 + F.log10("tf")) * F.col("weight")).alias("dot"), F.count("*").alias("matched"), F.min("term_rank").alias("first_term"))
+    hits = hits.select("query_id", "doc_id", ((1 + F.log10("tf")) * F.col("weight")).alias("dot"), "term_rank", zero.alias("bigram"), zero.alias("phrase"))
     named = pairs.withColumn("bigram", F.concat_ws("_", "t1", "t2"))
     grams = index.bigrams.select("bigram", "doc_id").join(side(named.select("bigram").distinct(), few_pairs), "bigram", "left_semi").distinct()
-    grams = grams.join(side(named, few_pairs), "bigram").groupBy("query_id", "doc_id").agg(F.sum("times").alias("bigram_hits"))
-    both = pairs.join(known.select("query_id", F.col("term").alias("t1")), ["query_id", "t1"], "left_semi").join(known.select("query_id", F.col("term").alias("t2")), ["query_id", "t2"], "left_semi")
-    both = both.groupBy("t1", "t2").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
-    met = both.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    places = materialize(index.postings.select("term", "doc_id", "positions").join(side(met, few_pairs), "term", "left_semi"), "query-places")
-    a, b = places.toDF("t1", "doc_id", "p1"), places.toDF("t2", "doc_id", "p2")
-    runs = a.join(side(both, few_pairs), "t1").join(b, ["t2", "doc_id"]).filter(phrase(F.col("p1"), F.col("p2")))
-    runs = runs.select("doc_id", F.inline("asked")).groupBy("query_id", "doc_id").agg(F.sum("times").alias("phrase_hits"))
-    rows = got.join(index.doc_lengths, "doc_id", "left").join(grams, ["query_id", "doc_id"], "left").join(runs, ["query_id", "doc_id"], "left")
+    grams = grams.join(side(named, few_pairs), "bigram")
+    parts = [hits, grams.select("query_id", "doc_id", F.lit(None).cast("double"), none, "times", F.col("times") if index.bodies_only else zero)]
+    if not index.bodies_only:
+        parts.append(phrases(index, known, pairs, side, few_pairs).select("query_id", "doc_id", F.lit(None).cast("double"), none, zero, "times"))
+    # one aggregation brings hits, bigrams and phrases together; what queries and documents share is summed before the shuffle
+    rows = reduce(DataFrame.union, parts).groupBy("query_id", "doc_id").agg(
+        F.sum("dot").alias("dot"), F.count("dot").alias("matched"), F.min("term_rank").alias("first_term"), F.sum("bigram").alias("bigram_hits"), F.sum("phrase").alias("phrase_hits")
+    ).filter("matched > 0")
+    rows = rows.join(index.doc_lengths, "doc_id", "left")
     if ranks is None:
         rows = rows.withColumn("rank", F.lit(0.0))
     else:
         rows = rows.join(ranks.select("doc_id", F.col("score").alias("rank")), "doc_id", "left").fillna(0.0, ["rank"])
-    rows = rows.fillna(1.0, ["length"]).fillna(0, ["bigram_hits", "phrase_hits"])
+    rows = rows.fillna(1.0, ["length"])
     tfidf = F.when(F.col("length") > 0, F.col("dot") / F.col("length")).otherwise(F.col("dot"))
     rows = rows.withColumn("tfidf", tfidf)
     total = F.col("tfidf") + settings.coverage * F.col("matched") + settings.bigram_bonus * F.col("bigram_hits") + settings.phrase_bonus * F.col("phrase_hits") + settings.rank_weight * F.col("rank")
