@@ -102,13 +102,15 @@ def body_counts(docs: DataFrame) -> DataFrame:
 
 
 def body_postings(docs: DataFrame) -> DataFrame:
-    """postings() of documents(doc_id, text): within their rows, unless rows share a doc_id."""
+    """postings() of documents(doc_id, text): within their rows, and with each document's length, unless rows share a doc_id."""
     if not whole(docs):
         return postings(body_tokens(docs))
     placed = F.transform(tokenize(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     rows = docs.select("doc_id", F.sort_array(placed).alias("_sorted")).select("*", run_starts("_sorted", lambda x: x["term"]).alias("_starts"))
     run = F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b)["term"].alias("term"), F.transform(F.slice("_sorted", b + 1, run_ends(j) - b), lambda x: x["pos"]).alias("positions")))
-    return rows.select("doc_id", F.inline(run)).select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+    squares = F.transform("_starts", lambda b, j: F.pow(1 + F.log10(run_ends(j) - b), F.lit(2)))
+    rows = rows.select("doc_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y)).alias("length"), F.inline(run))
+    return rows.select("term", "doc_id", F.size("positions").alias("tf"), "positions", "length")
 
 
 def pair_items(docs: DataFrame) -> DataFrame:

@@ -73,19 +73,20 @@ def score(queries: DataFrame, index: IndexTables, ranks: DataFrame | None = None
     few_terms, few_pairs = known.count() <= FEW, pairs.count() <= FEW
     side = lambda df, few: F.broadcast(df) if few else df
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
-    hits = index.postings.select("term", "doc_id", "tf").join(side(known, few_terms), "term")
-    hits = hits.select("query_id", "doc_id", ((1 + F.log10("tf")) * F.col("weight")).alias("dot"), "term_rank", zero.alias("bigram"), zero.alias("phrase"))
+    own = "length" in index.postings.columns  # else a join brings it, for which all rows are shuffled again
+    hits = index.postings.select("term", "doc_id", "tf", F.col("length") if own else F.lit(None).cast("double").alias("length")).join(side(known, few_terms), "term")
+    hits = hits.select("query_id", "doc_id", ((1 + F.log10("tf")) * F.col("weight")).alias("dot"), "term_rank", zero.alias("bigram"), zero.alias("phrase"), "length")
     named = pairs.withColumn("bigram", F.concat_ws("_", "t1", "t2"))
     grams = index.bigrams.select("bigram", "doc_id").join(side(named.select("bigram").distinct(), few_pairs), "bigram", "left_semi").distinct()
     grams = grams.join(side(named, few_pairs), "bigram")
-    parts = [hits, grams.select("query_id", "doc_id", F.lit(None).cast("double"), none, "times", F.col("times") if index.bodies_only else zero)]
+    parts = [hits, grams.select("query_id", "doc_id", F.lit(None).cast("double"), none, "times", F.col("times") if index.bodies_only else zero, F.lit(None).cast("double"))]
     if not index.bodies_only:
-        parts.append(phrases(index, known, pairs, side, few_pairs).select("query_id", "doc_id", F.lit(None).cast("double"), none, zero, "times"))
+        parts.append(phrases(index, known, pairs, side, few_pairs).select("query_id", "doc_id", F.lit(None).cast("double"), none, zero, "times", F.lit(None).cast("double")))
     # one aggregation brings hits, bigrams and phrases together; what queries and documents share is summed before the shuffle
     rows = reduce(DataFrame.union, parts).groupBy("query_id", "doc_id").agg(
-        F.sum("dot").alias("dot"), F.count("dot").alias("matched"), F.min("term_rank").alias("first_term"), F.sum("bigram").alias("bigram_hits"), F.sum("phrase").alias("phrase_hits")
+        F.sum("dot").alias("dot"), F.count("dot").alias("matched"), F.min("term_rank").alias("first_term"), F.sum("bigram").alias("bigram_hits"), F.sum("phrase").alias("phrase_hits"), F.max("length").alias("length")
     ).filter("matched > 0")
-    rows = rows.join(index.doc_lengths, "doc_id", "left")
+    rows = rows if own else rows.drop("length").join(index.doc_lengths, "doc_id", "left")
     if ranks is None:
         rows = rows.withColumn("rank", F.lit(0.0))
     else:
