@@ -216,3 +216,8 @@ def test_bodies_alone_need_no_positions(spark):
     rows = lambda df: sorted(str(r) for r in df.collect())
     assert rows(fast) == rows(slow) and fast.filter("phrase_hits > 0").count() == 2
     assert "positions" not in plan(fast) and "Window" not in plan(built.bigrams)
+
+
+def test_rows_of_one_url_are_scanned_by_page_id(spark):
+    rows = spark.createDataFrame([(10, "http://a.com/x", "ten"), (9, "http://a.com/x", "nine")], "page_id long, url string, html string")
+    assert [r.content for r in pages.from_table(rows).orderBy("path").collect()] == ["nine", "ten"] and pages.from_table(rows).select("path").distinct().count() == 2

@@ -41,8 +41,12 @@ def documents(pages: DataFrame) -> DataFrame:
 
 
 def from_table(pages: DataFrame) -> DataFrame:
-    """path, url, content of a pages table (page_id, url, html): the path is the name that its file would have."""
-    return pages.filter(F.coalesce("url", F.lit("")) != "").select(file_name(F.col("url")).alias("path"), "url", F.coalesce("html", F.lit("")).alias("content"))
+    """path, url, content of a pages table (page_id, url, html): the path begins with the name that its file would have.
+
+    File names are equally long, so page_id orders rows of one URL, and their scan doesn't depend on partitions.
+    """
+    path = F.concat_ws("/", file_name(F.col("url")), F.format_string("%020d", F.col("page_id")))
+    return pages.filter(F.coalesce("url", F.lit("")) != "").select(path.alias("path"), "url", F.coalesce("html", F.lit("")).alias("content"))
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
