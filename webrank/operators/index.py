@@ -109,8 +109,9 @@ def body_postings(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.sort_array(placed).alias("_sorted")).select("*", run_starts("_sorted", lambda x: x["term"]).alias("_starts"))
     run = F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b)["term"].alias("term"), F.transform(F.slice("_sorted", b + 1, run_ends(j) - b), lambda x: x["pos"]).alias("positions")))
     squares = F.transform("_starts", lambda b, j: F.pow(1 + F.log10(run_ends(j) - b), F.lit(2)))
-    rows = rows.select("doc_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y)).alias("length"), F.inline(run))
-    return rows.select("term", "doc_id", F.size("positions").alias("tf"), "positions", "length")
+    # a select of its own, or it would be summed again for each row of inline()
+    rows = rows.select("*", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y)).alias("length"))
+    return rows.select("doc_id", "length", F.inline(run)).select("term", "doc_id", F.size("positions").alias("tf"), "positions", "length")
 
 
 def pair_items(docs: DataFrame) -> DataFrame:
