@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrank.sources.scratch import materialize, new_path  # noqa: F401
+from webrank.sources.scratch import bounded_batches, materialize, new_path  # noqa: F401
 
 
 #: ASCII white space: the separators of words in all operators here.
@@ -29,8 +29,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What one operator keeps in this Python worker between its tasks, by the operator's name.
 _kept: dict[str, object] = {}
 
-#: Bytes of an Arrow batch of texts or hashes.
-BATCH_BYTES = 4 << 20
 #: Bins of a histogram, and values few enough to sort on the driver, in kth_largest().
 BINS, FEW = 4096, 10_000
 
@@ -44,16 +42,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches limited to BATCH_BYTES: ten thousand rows of texts would be held several times over."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(df.sparkSession.conf.get(key, "64m")).lower().rstrip("b")
-    scale = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
-    if not 0 < int(now.rstrip("kmg")) << scale <= BATCH_BYTES:
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df
-
-
 def worker_memory(owner: str, make: Callable[[], object] | None = None) -> object:
     """What `owner` keeps in this Python worker, made at its first task here; others' goes first.
 

@@ -14,6 +14,7 @@ from webrank.functions import urls as U
 from webrank.functions.html import extract_fields, next_links, visible_text
 from webrank.operators import analytics, crawl, dedup, graph, index, search
 from webrank.sources import pages as P
+from webrank.sources.scratch import bounded_batches
 
 QUERIES = [(0, "the of and"), (1, "in the en la"), (2, "thand the thin"), (3, "der die und"), (4, "password token license"), (5, "the the of the")]
 
@@ -23,7 +24,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet")
+    return bounded_batches(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 def query_table(spark: SparkSession) -> DataFrame:
@@ -180,7 +181,9 @@ def html_bold(spark, d):
 
 
 def html_links(spark, d):
-    return parsed(spark, d).select("page_id", F.posexplode("f.links").alias("i", "l")).select("page_id", F.col("i").cast("long").alias("i"), "l.target", "l.text")
+    # an inner posexplode would get a filter on the arrays' size below it, in which each page is parsed again by workers of its own
+    rows = parsed(spark, d).select("page_id", F.posexplode_outer("f.links").alias("i", "l")).filter("i is not null")
+    return rows.select("page_id", F.col("i").cast("long").alias("i"), "l.target", "l.text")
 
 
 def html_visible_text(spark, d):
