@@ -382,6 +382,19 @@ def test_lm_gradient_of_the_far_window():
     assert lbl.spread_back(spread, text, 62) == pytest.approx(want, abs=1e-5)
 
 
+def test_lm_sums_of_runs_and_noise_are_those_of_plain_numpy():
+    rng = np.random.default_rng(3)
+    size = np.array([1, 2, 40, 1, lbl.LONG, lbl.LONG - 1, 300, 1])
+    first = np.cumsum(size) - size
+    rows = rng.normal(size=(size.sum(), 5)).astype(np.float32)
+    assert lbl.run_sums(rows, first) == pytest.approx(np.add.reduceat(rows, first, axis=0), abs=1e-4)
+    index = np.repeat([4, 70_000, 9], [30, 3, 1])
+    at, total, times = lbl.gathered(index, rows[:34])
+    assert at.tolist() == [4, 9, 70_000] and times.tolist() == [30, 1, 3] and total[1] == pytest.approx(rows[33])
+    q, r, noise = np.append(rows[:9], np.ones((9, 1), np.float32), axis=1), rng.normal(size=(7, 6)).astype(np.float32), rng.normal(size=7).astype(np.float32)
+    assert lbl.against_noise(q, r, noise) == pytest.approx(lbl.squash(q @ r.T - noise), abs=1e-5)
+
+
 def test_lm_learns():
     rng = np.random.default_rng(0)
     uni = np.full(6, 1 / 6)

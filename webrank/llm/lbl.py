@@ -25,6 +25,8 @@ BUCKETS, SUFFIX = 1024, 3
 FREQUENT = 200_000
 #: Training tokens of a partition, about; tokens that a worker holds at a time.
 PART, HELD = 12_000_000, 1 << 16
+#: Rows of a run from which on its sum is a matrix product.
+LONG = 16
 LN10 = np.log(10.0)
 
 
@@ -101,11 +103,14 @@ class Model:
         """q of every token of the texts, and a last column of ones for the bias."""
         d, s, t = self.dim, text.symbols, text.target
         q = np.ones((len(t), d + 1), np.float32)
-        q[:, :d] = self.rows[s[t - 1], :d]
-        q[:, :d] += self.rows[s[t - 2], d : 2 * d]
+        q[:, :d] = picked(self.rows[:, :d], s[t - 1])
+        q[:, :d] += picked(self.rows[:, d : 2 * d], s[t - 2])
         far = np.zeros((len(s) + 1, d))
-        np.cumsum(self.rows[s, 2 * d : 3 * d], axis=0, out=far[1:])
-        q[:, :d] += (far[text.to] - far[text.since]) * text.share[:, None]
+        np.cumsum(picked(self.rows[:, 2 * d : 3 * d], s), axis=0, dtype=np.float64, out=far[1:])
+        mean = picked(far, text.to)
+        mean -= picked(far, text.since)
+        mean *= text.share[:, None]
+        q[:, :d] += mean
         return q
 
     def log_probability(self, text: Texts) -> np.ndarray:
@@ -113,17 +118,23 @@ class Model:
         q, w, d = self.contexts(text), text.symbols[text.target], self.dim
         own = np.ascontiguousarray(self.rows[:-1, 3 * d :])
         of = (w // self.width).astype(np.int32)
-        got = np.einsum("ij,ij->i", q, self.classes[of]) + np.einsum("ij,ij->i", q, own[w])
+        got = np.einsum("ij,ij->i", q, picked(self.classes, of)) + np.einsum("ij,ij->i", q, picked(own, w))
         got -= log_z(q, self.classes)
         order = np.argsort(of.astype(np.uint16) if len(self.classes) < 1 << 16 else of, kind="stable")
         bounds = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
+        by_class, z = picked(q, order), np.empty_like(got)
         for i, j in zip(bounds[:-1], bounds[1:]):
-            at = order[i:j]
-            c = of[at[0]] * self.width
-            got[at] -= log_z(q[at], own[c : c + self.width])
+            c = of[order[i]] * self.width
+            z[i:j] = log_z(by_class[i:j], own[c : c + self.width])
+        got[order] -= z
         return got
 
 
+def picked(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """table[rows]; numpy takes rows that lie in one piece several times faster than it indexes others."""
+    return np.take(np.ascontiguousarray(table), rows, axis=0)
+
+
 def log_z(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """log of the sum of exp(q . r) over the rows of r; scores are small, and if they aren't, the largest is taken out first."""
     out = np.empty(len(q), np.float32)
@@ -196,27 +207,53 @@ def squash(s: np.ndarray) -> np.ndarray:
     return np.reciprocal(s, out=s)
 
 
+def against_noise(q: np.ndarray, r: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
+    """squash(q @ r.T - log_noise) for contexts q, whose last column is one and so takes in the noise."""
+    r = -r
+    r[:, -1] += log_noise
+    s = q @ r.T
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
+
+
+def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """np.add.reduceat(rows, first): the sums of the runs that begin at `first`, those of LONG ones as matrix products, which are much faster."""
+    size = np.diff(first, append=len(rows))
+    out = picked(rows, first)
+    ones = np.ones(int(size.max(initial=0)), rows.dtype)
+    for k in np.flatnonzero(size >= LONG):
+        out[k] = ones[: size[k]] @ rows[first[k] : first[k] + size[k]]
+    some = np.flatnonzero((size > 1) & (size < LONG))
+    if len(some):
+        size = size[some]
+        start = np.cumsum(size) - size
+        out[some] = np.add.reduceat(picked(rows, np.repeat(first[some] - start, size) + np.arange(size.sum())), start, axis=0)
+    return out
+
+
 def spread_back(grad: np.ndarray, text: Texts, n: int) -> np.ndarray:
     """For each of n places, the sum of the gradients of the tokens whose window of farther words covers it.
 
     A window adds at its begin, which early tokens of a text share, and takes away at its end, which is
     its own; running sums do the rest.
     """
-    some = text.to > text.since
+    some = np.flatnonzero(text.to > text.since)
     steps = np.zeros((n + 1, grad.shape[1]))
-    steps[text.to[some]] = -grad[some]
-    since, grad = text.since[some], grad[some]
+    since, grad = text.since[some], picked(grad, some)
+    steps[text.to[some]] = -grad
     first = np.flatnonzero(np.diff(since, prepend=-1))
-    steps[since[first]] += np.add.reduceat(grad, first, axis=0) if len(first) else 0
+    steps[since[first]] += run_sums(grad, first) if len(first) else 0
     return np.cumsum(steps, axis=0)[:-1]
 
 
 def gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of `index`, which may repeat, once each, the sums of their gradients and how often each came."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.diff(index, prepend=-1))
-    return index[first], np.add.reduceat(grad[order], first, axis=0), np.diff(first, append=len(index))
+    return index[first], run_sums(picked(grad, order), first), np.diff(first, append=len(index))
 
 
 class Trainer:
@@ -268,9 +305,11 @@ class Trainer:
         if len(self.mass) > 1:
             noise, times = self.some_of(0, len(self.mass), EVERY)
             r = m.classes[noise]
-            up = 1 - squash(np.einsum("ij,ij->i", q, m.classes[of]) - self.log_class[of])
-            down = squash(q @ r.T - self.log_class[noise]) * (self.mass[noise] * times)
-            dq += up[:, None] * m.classes[of]
+            met = picked(m.classes, of)
+            up = 1 - squash(np.einsum("ij,ij->i", q, met) - self.log_class[of])
+            down = against_noise(q, r, self.log_class[noise])
+            down *= self.mass[noise] * times
+            dq += up[:, None] * met
             dq -= down @ r
             minus = np.zeros_like(m.classes)
             minus[noise] = -(down.T @ q)
@@ -279,24 +318,28 @@ class Trainer:
             self.apply(m.classes, self.class_squares, slice(None), minus, [(0, d), (d, d + 1)])
         grad = np.zeros((len(s), 4 * d + 1), np.float32)
         own = m.rows[:, 3 * d :]
-        up = 1 - squash(np.einsum("ij,ij->i", q, own[w]) - self.log_noise[w])
-        dq += up[:, None] * own[w]
-        grad[t, 3 * d :] = up[:, None] * q
+        met = picked(own, w)
+        up = 1 - squash(np.einsum("ij,ij->i", q, met) - self.log_noise[w])
+        dq += up[:, None] * met
+        own_grad = up[:, None] * q
         order = np.argsort(of.astype(np.uint16) if len(self.mass) < 1 << 16 else of, kind="stable")
         bounds = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
         against, pushed = [], []
+        by_class, change = picked(q, order), picked(dq, order)
         for i, j in zip(bounds[:-1], bounds[1:]):
-            at = order[i:j]
-            first = of[at[0]] * m.width
+            first = of[order[i]] * m.width
             noise, times = self.some_of(first, min(first + m.width, len(self.noise)), 0)
-            r, qk = own[noise], q[at]
-            down = squash(qk @ r.T - self.log_noise[noise]) * (self.noise[noise] * times)
-            dq[at] -= down @ r
+            r, qk = own[noise], by_class[i:j]
+            down = against_noise(qk, r, self.log_noise[noise])
+            down *= self.noise[noise] * times
+            change[i:j] -= down @ r
             against.append(noise)
             pushed.append(down.T @ qk)
-        dq = dq[:, :d]
-        grad[t - 1, :d] += dq
-        grad[t - 2, d : 2 * d] += dq
+        dq[order] = change
+        dq = np.ascontiguousarray(dq[:, :d])
+        grad[t - 1, :d] = dq
+        grad[t - 2, d : 2 * d] = dq
+        grad[t, 3 * d :] = own_grad
         grad[:, 2 * d : 3 * d] = spread_back(dq * text.share[:, None], text, len(s))
         rows, total, times = gathered(s, grad)
         self.times[rows] += times
