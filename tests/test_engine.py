@@ -221,3 +221,13 @@ def test_bodies_alone_need_no_positions(spark):
 def test_rows_of_one_url_are_scanned_by_page_id(spark):
     rows = spark.createDataFrame([(10, "http://a.com/x", "ten"), (9, "http://a.com/x", "nine")], "page_id long, url string, html string")
     assert [r.content for r in pages.from_table(rows).orderBy("path").collect()] == ["nine", "ten"] and pages.from_table(rows).select("path").distinct().count() == 2
+
+
+def test_fetched_urls_meet_pages_by_a_column(spark):
+    from webrank.sources.pages import table_fetcher
+
+    pages = spark.createDataFrame([("http://a.com/x/", "<p>x"), ("http://a.com/y", None)], "url string, html string")
+    got = table_fetcher(pages)(spark.createDataFrame([("http://A.com/x",), ("http://a.com/y",), ("http://a.com/z",)], "url string"))
+    assert {(r.url, r.status, bytes(r.body).decode()) for r in got.collect()} == {("http://A.com/x", 200, "<p>x"), ("http://a.com/y", 200, ""), ("http://a.com/z", 404, "")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if ("Join" in x or "Sort [" in x) and "regexp" in x]

@@ -116,7 +116,8 @@ def without_bad(rows: DataFrame, bad: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, domains: list[str] | None = None, bad: DataFrame | None = None, order: str = "arrival", limit: int = 20, seen: DataFrame | None = None) -> DataFrame:
     """rows(url, arrival) that pass the rules before that of variants, with `ok` (whether all rules accept them), _k and _q."""
     late = ("events", "wiki", "extension")
-    rows = rows.withColumn("_why", reject_reason(F.col("url"), domains)).filter(F.col("_why").isNull() | F.col("_why").isin(*late))
+    # written, or the filters and joins below would each work out all rules again
+    rows = materialize(rows.withColumn("_why", reject_reason(F.col("url"), domains)), "judged").filter(F.col("_why").isNull() | F.col("_why").isin(*late))
     rows = without_bad(rows, bad) if bad is not None else rows
     return within_limit(with_variant(rows), order, limit, seen).withColumn("ok", F.col("ok") & F.col("_why").isNull()).drop("_why")
 
@@ -146,7 +147,8 @@ def scrape(responses: DataFrame, domains: list[str] | None = None, bad: DataFram
     ok tells whether the others do, too, given the variants seen(_k, _q) before.
     """
     rows = readable(responses, settings).select(F.col("url").alias("source"), F.posexplode(next_links("final_url", "html")).alias("i", "link"))
-    rows = rows.select("source", "i", U.normalize_crawl(F.col("link")).alias("url")).filter("url <> ''")
+    # written, so that pages are parsed once and no rule holds the expression of the canonical URL in place of the URL
+    rows = materialize(rows.select("source", "i", U.normalize_crawl(F.col("link")).alias("url")), "scraped").filter("url <> ''")
     rows = rows.withColumn("arrival", F.struct("source", "i", "url"))
     return judged(rows, domains, bad, limit=settings.max_variants, seen=seen).select("source", "url", "ok")
 

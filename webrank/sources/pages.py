@@ -143,8 +143,9 @@ def table_fetcher(pages: DataFrame):
 
     def fetch(urls: DataFrame) -> DataFrame:
         known = pages.select(normalize_index(F.col("url")).alias("_key"), F.col("html").alias("_html")).dropDuplicates(["_key"])
-        rows = urls.select("url").join(known, normalize_index(F.col("url")) == F.col("_key"), "left")
-        there = F.col("_key").isNotNull()
+        # a key that is an expression would be worked out again whenever the join's sort compares two rows
+        rows = urls.select("url", normalize_index(F.col("url")).alias("_key")).join(known.withColumn("_there", F.lit(True)), "_key", "left")
+        there = F.col("_there").isNotNull()
         return rows.select("url", F.col("url").alias("final_url"), F.when(there, 200).otherwise(404).alias("status"), F.lit("text/html").alias("content_type"), F.encode(F.coalesce("_html", F.lit("")), "UTF-8").alias("body"), F.lit(None).cast("string").alias("error"))
 
     return fetch
