@@ -231,3 +231,26 @@ def test_fetched_urls_meet_pages_by_a_column(spark):
     assert {(r.url, r.status, bytes(r.body).decode()) for r in got.collect()} == {("http://A.com/x", 200, "<p>x"), ("http://a.com/y", 200, ""), ("http://a.com/z", 404, "")}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if ("Join" in x or "Sort [" in x) and "regexp" in x]
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_fields_are_counted_within_their_rows(spark, stem):
+    """The same postings, counts and bigrams as by token rows, which a task would hold in hash tables and sorts that grow with the table."""
+    rows = [(0, "Running dogs", "dog", None, "dogs run the runs dogs run"), (1, "", None, "", None), (2, None, "", "bold b", "b a"), (3, "t", "", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, headings string, bold string, body string")
+    anchors = index.anchor_terms(spark.createDataFrame([(0, "dogs home"), (0, "dogs"), (1, "way"), (2, ",")], "doc_id long, text string"), stem)
+    terms, tokens = index.field_terms(docs, stem), index.field_tokens(docs, stem)
+    counts = index.weighted_counts(tokens).union(anchors).groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    for got, want in [(index.field_postings(terms), index.postings(tokens)), (index.field_bigrams(terms), index.bigrams(tokens)), (index.field_counts(terms, anchors), counts)]:
+        assert rows(got) == rows(want.select(got.columns)) and len(rows(got)) > 3
+    assert "Exchange" not in plan(index.field_postings(terms)) + plan(index.field_bigrams(terms))
+
+
+def test_build_index_makes_no_token_rows_and_parses_once(spark, site, monkeypatch):
+    monkeypatch.setattr(index, "field_tokens", None)
+    written = {}
+    monkeypatch.setattr(index, "materialize", lambda df, name, f=index.materialize: written.setdefault(name, plan(df)) and f(df, name))
+    built = index.build_index(read_json(spark, site[0]))
+    assert sum(p.count("ArrowEvalPython") for name, p in written.items() if name != "tokens" and name != "weighted-counts") == 1
+    assert "ArrowEvalPython" in written["extracted"] and "Exchange" not in written["postings"] + written["extracted"] and built.postings.count() > 60

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +45,25 @@ def stem_word(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
 
+#: Words whose stems a worker remembers.
+REMEMBERED = 1 << 17
+
+
+@lru_cache(REMEMBERED)
+def remembered_stem(word: str) -> str:
+    from webrank.functions.porter2 import stem
+
+    return stem(word)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_words(words: pa.Array) -> pa.Array:
+    """Arrays of words as arrays of stems; a batch's distinct words are stemmed, unless the worker still knows them."""
+    coded = words.flatten().dictionary_encode()
+    stems = pa.array(map(remembered_stem, coded.dictionary.to_pylist()), pa.string())
+    return pa.ListArray.from_arrays(pc.subtract(words.offsets, words.offsets[0]), stems.take(coded.indices))
+
+
 def stemmed(tokens: DataFrame, column: str = "term") -> DataFrame:
     """tokens with `column` stemmed.  The stemmer sees each distinct word once; words meet stems in a join."""
     words = tokens.select(column).distinct().withColumn("_stem", stem_word(F.col(column)))

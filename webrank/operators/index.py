@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webrank.config import Settings
 from webrank.functions.html import extract_fields
-from webrank.functions.text import stemmed, tokenize
+from webrank.functions.text import stem_words, stemmed, tokenize
 from webrank.operators import dedup
 from webrank.sources.pages import documents
-from webrank.sources.scratch import materialize
+from webrank.sources.scratch import bounded_batches, materialize
 
 
 @dataclass
@@ -68,6 +69,40 @@ def field_tokens(docs: DataFrame, stem: bool, settings: Settings = Settings()) -
     return stemmed(rows) if stem else rows
 
 
+def field_terms(docs: DataFrame, stem: bool, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, terms, ends: field_tokens() as a row per document, and where each field ends among its terms."""
+    rows = docs.select("doc_id", *(tokenize(F.col(name)).alias(f"_{name}") for name in settings.weights))
+    sizes, names = [F.size(f"_{name}") for name in settings.weights], [f"_{name}" for name in settings.weights]
+    ends = [reduce(Column.__add__, sizes[: i + 1]) for i in range(len(sizes))]
+    rows = rows.select("doc_id", F.concat(*names).alias("terms"), F.array(*ends).alias("ends"))
+    return rows.withColumn("terms", stem_words("terms")) if stem else rows
+
+
+def field_postings(rows: DataFrame) -> DataFrame:
+    """postings() of field_terms(): within their rows, so that no task holds more than a document's terms."""
+    return runs(rows).select("doc_id", F.inline(positions())).select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+
+
+def field_counts(rows: DataFrame, anchors: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """weighted_counts() of field_terms() and anchor_terms() together: an anchor's terms come to their document's row as a list of distinct ones."""
+    lists = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("_anchors"))
+    ends = [F.get("ends", F.lit(i)) for i in range(len(settings.weights))]
+    weight = lambda i: F.coalesce(*(F.when(i < end, w) for end, w in zip(ends, settings.weights.values())))
+    own = F.transform("terms", lambda t, i: F.struct(t.alias("term"), weight(i).alias("weight")))
+    items = F.concat(own, F.coalesce("_anchors", F.array().cast("array<struct<term:string,weight:double>>")))
+    rows = rows.join(lists, "doc_id", "left").select("doc_id", F.sort_array(items).alias("_sorted")).select("*", run_starts("_sorted", lambda x: x["term"]).alias("_starts"))
+    total = lambda b, j: F.aggregate(F.slice("_sorted", b + 1, run_ends(j) - b), F.lit(0.0), lambda x, y: x + y["weight"])
+    return rows.select("doc_id", F.inline(F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b)["term"].alias("term"), total(b, j).alias("weight")))))
+
+
+def field_bigrams(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """bigrams() of field_terms(), within their rows."""
+    at = list(settings.weights).index("body")
+    before = F.get("ends", F.lit(at - 1)) if at else F.lit(0)
+    body = rows.select("doc_id", F.slice("terms", before + 1, F.get("ends", F.lit(at)) - before).alias("_t"))
+    return adjacent_terms(body).select("doc_id", F.explode_outer("items").alias("bigram")).filter("bigram is not null")
+
+
 def body_tokens(docs: DataFrame) -> DataFrame:
     """The token rows of documents(doc_id, text) whose only field is the body."""
     return docs.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "term")).select("doc_id", "term", F.lit(1.0).alias("weight"), "pos", F.col("pos").alias("body_pos"))
@@ -88,6 +123,17 @@ def run_ends(j: Column) -> Column:
     return F.coalesce(F.get("_starts", j + 1), F.size("_sorted"))
 
 
+def runs(rows: DataFrame) -> DataFrame:
+    """doc_id, _sorted, _starts: the terms of rows(doc_id, terms) with their places, sorted, and where each term begins."""
+    placed = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return rows.select("doc_id", F.sort_array(placed).alias("_sorted")).select("*", run_starts("_sorted", lambda x: x["term"]).alias("_starts"))
+
+
+def positions() -> Column:
+    """term, positions of each of runs()."""
+    return F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b)["term"].alias("term"), F.transform(F.slice("_sorted", b + 1, run_ends(j) - b), lambda x: x["pos"]).alias("positions")))
+
+
 def counted(rows: DataFrame, name: str) -> DataFrame:
     """doc_id, `name`, n: how often rows(doc_id, items) have each item."""
     rows = rows.select("doc_id", F.sort_array("items").alias("_sorted")).select("*", run_starts("_sorted").alias("_starts"))
@@ -105,18 +151,20 @@ def body_postings(docs: DataFrame) -> DataFrame:
     """postings() of documents(doc_id, text): within their rows, and with each document's length, unless rows share a doc_id."""
     if not whole(docs):
         return postings(body_tokens(docs))
-    placed = F.transform(tokenize(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    rows = docs.select("doc_id", F.sort_array(placed).alias("_sorted")).select("*", run_starts("_sorted", lambda x: x["term"]).alias("_starts"))
-    run = F.transform("_starts", lambda b, j: F.struct(F.get("_sorted", b)["term"].alias("term"), F.transform(F.slice("_sorted", b + 1, run_ends(j) - b), lambda x: x["pos"]).alias("positions")))
+    rows = runs(docs.select("doc_id", tokenize(F.col("text")).alias("terms")))
     squares = F.transform("_starts", lambda b, j: F.pow(1 + F.log10(run_ends(j) - b), F.lit(2)))
     # a select of its own, or it would be summed again for each row of inline()
     rows = rows.select("*", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y)).alias("length"))
-    return rows.select("doc_id", "length", F.inline(run)).select("term", "doc_id", F.size("positions").alias("tf"), "positions", "length")
+    return rows.select("doc_id", "length", F.inline(positions())).select("term", "doc_id", F.size("positions").alias("tf"), "positions", "length")
 
 
 def pair_items(docs: DataFrame) -> DataFrame:
     """doc_id, items: the adjacent pairs of each text of documents(doc_id, text)."""
-    rows = docs.select("doc_id", tokenize(F.col("text")).alias("_t"))
+    return adjacent_terms(docs.select("doc_id", tokenize(F.col("text")).alias("_t")))
+
+
+def adjacent_terms(rows: DataFrame) -> DataFrame:
+    """doc_id, items: the adjacent pairs of rows(doc_id, _t)."""
     return rows.select("doc_id", F.array_compact(F.transform("_t", lambda t, i: F.when(i + 1 < F.size("_t"), F.concat(t, F.lit("_"), F.get("_t", i + 1))))).alias("items"))
 
 
@@ -156,8 +204,9 @@ def bigrams(tokens: DataFrame) -> DataFrame:
 
 def anchor_terms(anchors: DataFrame, stem: bool, settings: Settings = Settings()) -> DataFrame:
     """doc_id, term, weight of anchor texts(doc_id, text): they weigh in lengths and fingerprints, but have no positions."""
-    rows = anchors.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    rows = stemmed(rows) if stem else rows
+    terms = tokenize(F.col("text"))
+    # an inner explode would get a filter on the arrays' size below it, in which words are stemmed again
+    rows = anchors.select("doc_id", F.explode_outer(stem_words(terms) if stem else terms).alias("term")).filter("term is not null")
     return rows.groupBy("doc_id", "term").agg((F.count("*") * settings.anchor_weight).alias("weight"))
 
 
@@ -176,38 +225,40 @@ def orphans(links: DataFrame, kept: DataFrame) -> DataFrame:
 def build_index(pages: DataFrame, stem: bool = True, settings: Settings = Settings()) -> IndexTables:
     """All index tables of pages(path, url, content), scanned in the order of paths.
 
-    Parsing is the costly step, so its result is written once.  Pages that repeat a kept page's URL
-    are skipped; those that repeat its content are logged and still give their anchors.
+    Parsing is the costly step, so its result is written before ranges of paths are sampled, and only
+    what keep-first needs is sorted and joined before the texts meet their ids.  Terms are counted and
+    placed within a document's row.  Pages that repeat a kept page's URL are skipped; those that repeat
+    its content are logged and still give their anchors.
     """
-    rows = documents(pages).filter("url <> ''").withColumn("f", extract_fields("url", "html"))
+    rows = bounded_batches(documents(pages)).filter("url <> ''").withColumn("f", extract_fields("url", "html"))
     rows = rows.select("path", "url", "f.title", "f.headings", "f.bold", "f.body", "f.links")
     text = dedup.exact_text(F.col("title"), F.col("headings"), F.col("bold"), F.col("body"))
-    parsed = dedup.dense_ids(rows.withColumn("hash", F.sha1(text)), "path", "rank")
-    parsed = materialize(parsed, "parsed")
-    state = materialize(dedup.keep_first(parsed.select("rank", "url", "hash")), "kept")
+    rows = materialize(rows.withColumns({"hash": F.sha1(text), "row": F.monotonically_increasing_id()}), "extracted")
+    ranks = materialize(dedup.dense_ids(rows.select("row", "path", "url", "hash"), "path", "rank"), "ranks")
+    state = materialize(dedup.keep_first(ranks.select("rank", "url", "hash")), "kept")
     kept = dedup.dense_ids(state.filter("state = 'kept'").select("rank", "url"), "rank", "doc_id")
     kept = materialize(kept, "doc-table")
-    docs = parsed.drop("url").join(kept, "rank")
-    tokens = materialize(field_tokens(docs, stem, settings), "tokens")
+    ids = ranks.select("row", "rank").join(state.select("rank", "state"), "rank").join(kept.select("rank", "doc_id"), "rank", "left")
+    parsed = materialize(rows.drop("path", "hash").join(ids, "row"), "parsed")
+    tokens = materialize(field_terms(parsed.filter("doc_id is not null"), stem, settings), "tokens")
 
-    links = parsed.select("rank", "url", F.posexplode("links").alias("i", "l")).select("rank", "url", "i", "l.target", "l.text")
+    links = parsed.select("rank", "url", "state", F.posexplode("links").alias("i", "l")).select("rank", "url", "state", "i", "l.target", "l.text")
     links = materialize(links, "links")
-    usable = links.join(state.filter("state = 'url'").select("rank"), "rank", "left_anti")
+    usable = links.filter("state <> 'url'")
     anchors = anchors_in_order(usable, kept)
-    counts = weighted_counts(tokens).union(anchor_terms(anchors, stem, settings)).groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
-    counts = materialize(counts, "weighted-counts")
+    counts = materialize(field_counts(tokens, anchor_terms(anchors, stem, settings), settings), "weighted-counts")
     prints = kept.select("doc_id").join(dedup.simhash(counts), "doc_id", "left").fillna(0, ["fingerprint"])
     near = dedup.near_duplicates(prints, settings)
     names = kept.select("doc_id", "url")
     near = near.join(names, "doc_id").join(names.toDF("prior_doc_id", "prior_url"), "prior_doc_id")
     exact = state.filter("state = 'hash'").join(kept.select(F.col("rank").alias("kept_rank"), F.col("doc_id").alias("kept_doc_id"), F.col("url").alias("kept_url")), "kept_rank")
-    post = materialize(postings(tokens), "postings")
+    post = materialize(field_postings(tokens), "postings")
     stats = kept.agg(F.lit("total_docs").alias("key"), F.count("*").alias("value"))
     summary = stats.union(post.agg(F.lit("postings"), F.count("*"))).union(orphans(usable, kept).agg(F.lit("orphan_anchor_targets"), F.count("*")))
     terms = dictionary(post)
     summary = summary.union(terms.agg(F.lit("distinct_terms"), F.count("*")))
     return IndexTables(
-        names, post, terms, doc_lengths(names, counts), stats, bigrams(tokens), exact.select("url", "kept_doc_id", "kept_url"),
+        names, post, terms, doc_lengths(names, counts), stats, field_bigrams(tokens, settings), exact.select("url", "kept_doc_id", "kept_url"),
         near.select("doc_id", "url", "prior_doc_id", "prior_url", "distance"), links.select(F.col("url").alias("source"), "target", "text"), summary,
     )
 
