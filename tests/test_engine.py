@@ -206,6 +206,18 @@ def test_pairs_of_fingerprints_are_dealt_by_rows(spark, monkeypatch):
     assert near.count() == sum(bin(i ^ j).count("1") <= 3 for i in range(64) for j in range(i))
 
 
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4, 5], [0, 1, 0, 3, 3, 5]])
+def test_fingerprints_are_summed_within_rows(spark, ids):
+    """The same as by counted rows, for more terms than are added at once, for none, and for an even split of bits; nothing is shuffled."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(70_000)), "", None, "One 1 one, " * 200, "abc", " ".join(f"w{i}" for i in range(511))]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    prints = docs.select("doc_id").join(dedup.simhash(index.weighted_counts(index.body_tokens(docs))), "doc_id", "left").fillna(0, ["fingerprint"])
+    got = index.body_fingerprints(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, prints.select("doc_id", "fingerprint").collect()))
+    assert ("Exchange" in plan(got)) == (len(set(ids)) < len(ids))
+
+
 def test_bodies_alone_need_no_positions(spark):
     """Where the body is the only field, phrases are bigrams: same rows as by positions, which aren't read; nor are token rows shuffled."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", "b a", "c a a", "", None, "d"])], "doc_id long, text string")

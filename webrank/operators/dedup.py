@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import sha1
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webrank.config import Settings
-from webrank.functions.text import collapse
+from webrank.functions.text import REMEMBERED, collapse
 from webrank.sources.scratch import materialize
 
 
@@ -63,6 +68,38 @@ def simhash(terms: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*sums).select("doc_id", value.alias("fingerprint"))
 
 
+@lru_cache(REMEMBERED)
+def remembered_hash(term: str) -> int:
+    """token_hash(), in Python."""
+    return int.from_bytes(sha1(term.encode()).digest()[-8:], "big")
+
+
+#: Terms whose bits, a byte each, add up without a carry, and blocks of them that are added at once.
+BLOCK, BLOCKS = 255, 256
+
+
+@F.arrow_udf(T.LongType())
+def simhash_of(terms: pa.Array) -> pa.Array:
+    """simhash() of arrays of terms, each occurrence of weight 1: a bit is set if over half of an array's hashes have it; 0 for no terms."""
+    offsets = terms.offsets.to_numpy().astype(np.int64)
+    offsets, coded = offsets - offsets[0], terms.flatten().dictionary_encode()
+    hashes = np.fromiter(map(remembered_hash, coded.dictionary.to_pylist()), ">u8", len(coded.dictionary))
+    bits, codes = np.unpackbits(hashes.view(np.uint8)).view(np.uint64).reshape(-1, 8), coded.indices.to_numpy()
+    sizes = np.diff(offsets)
+    blocks = -(-sizes // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    starts = np.append(np.repeat(offsets[:-1] - BLOCK * first, blocks) + BLOCK * np.arange(blocks.sum()), offsets[-1])
+    sums = np.zeros((len(starts) - 1, 8), np.uint64)
+    for at in range(0, len(sums), BLOCKS):
+        own = starts[at : at + BLOCKS + 1]
+        sums[at : at + BLOCKS] = np.add.reduceat(bits[codes[own[0] : own[-1]]], own[:-1] - own[0], axis=0)
+    out, some = np.zeros(len(sizes), np.int64), sizes > 0
+    if some.any():
+        ones = np.add.reduceat(sums.view(np.uint8), first[some], axis=0, dtype=np.int64)
+        out[some] = np.packbits(2 * ones > sizes[some, None], axis=1).view(">i8")[:, 0]
+    return pa.array(out)
+
+
 def unsigned(fingerprint: Column) -> Column:
     return F.conv(F.hex(fingerprint), 16, 10)
 

@@ -147,6 +147,13 @@ def body_counts(docs: DataFrame) -> DataFrame:
     return counted(docs.select("doc_id", tokenize(F.col("text")).alias("items")), "term").select("doc_id", "term", F.col("n").cast("double").alias("weight"))
 
 
+def body_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint of documents(doc_id, text): within their rows, uncounted, unless rows share a doc_id."""
+    if not whole(docs):
+        return docs.select("doc_id").join(dedup.simhash(weighted_counts(body_tokens(docs))), "doc_id", "left").fillna(0, ["fingerprint"])
+    return bounded_batches(docs).select("doc_id", dedup.simhash_of(tokenize(F.col("text"))).alias("fingerprint"))
+
+
 def body_postings(docs: DataFrame) -> DataFrame:
     """postings() of documents(doc_id, text): within their rows, and with each document's length, unless rows share a doc_id."""
     if not whole(docs):

@@ -73,8 +73,7 @@ def keep_first_pages(spark, d):
 
 
 def fingerprints(spark, d):
-    counts = index.body_counts(documents(spark, d))
-    return documents(spark, d).select("doc_id").join(dedup.simhash(counts), "doc_id", "left").fillna(0, ["fingerprint"])
+    return index.body_fingerprints(documents(spark, d))
 
 
 def simhash_fingerprints(spark, d):
