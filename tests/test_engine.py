@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webrank.operators import crawl, dedup, graph, index, search
 from webrank.operators.index import IndexTables
+from webrank.plans import catalog
 from webrank.sources import pages
 from webrank.sources.pages import download, read_json, table_fetcher
 from webrank.streaming.incremental import compact, index_stream
@@ -218,6 +219,25 @@ def test_fingerprints_are_summed_within_rows(spark, ids):
     assert ("Exchange" in plan(got)) == (len(set(ids)) < len(ids))
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_pairs_are_expanded_where_they_meet(spark, monkeypatch, broadcast):
+    """Copies and hot keys are dealt in pieces, no pair is lost or doubled, and pairs aren't shuffled to meet their documents."""
+    monkeypatch.setattr(dedup, "DOCS", 3)
+    monkeypatch.setattr(dedup, "LISTS", 4)
+    monkeypatch.setattr(dedup, "HOT", broadcast)
+    rng = random.Random(6)
+    prints = [0] * 20 + [sum(1 << i for i in rng.sample(range(52), rng.randrange(1, 3))) for _ in range(60)] + [-1, -2, -2]
+    near = dedup.near_duplicates(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint long"))
+    above = plan(near).split("Join [bucket")[0]
+    assert "Generate explode" in above and "Exchange" not in above
+    want = [(i, j, d) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if (d := bin((x ^ y) & (1 << 64) - 1).count("1")) <= 3 and (x ^ y) >> 52 == 0]
+    assert sorted(map(tuple, near.collect())) == sorted(want) and len(want) > 300
+
+
+def test_texts_are_hashed_once_for_both_sides_of_a_join(spark):
+    assert "sha1" not in plan(catalog.exact_duplicates(spark, "/root/testdata/sf0.001"))
+
+
 def test_bodies_alone_need_no_positions(spark):
     """Where the body is the only field, phrases are bigrams: same rows as by positions, which aren't read; nor are token rows shuffled."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", "b a", "c a a", "", None, "d"])], "doc_id long, text string")

@@ -115,30 +115,44 @@ def bucket(fingerprint: Column, bits: int = 12) -> Column:
 def near_duplicates(fingerprints: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, prior_doc_id, distance of documents of one bucket that differ in few bits.
 
-    Equal fingerprints are compared once.  The bits outside the bucket are cut into two blocks more
-    than bits may differ, so two fingerprints within the distance agree in two blocks: pairs meet by
-    bucket and two blocks, and a pair is taken at the first two in which it agrees.  Keys take few
-    bytes for the pairs they make, so their partitions are set by rows.
+    Equal fingerprints are compared once, as lists of at most DOCS documents, which their keys carry:
+    pairs are expanded where they meet, and not shuffled.  The bits outside the bucket are cut into two
+    blocks more than bits may differ, so two fingerprints within the distance agree in two blocks: pairs
+    meet by bucket and two blocks, and a pair is taken at the first two in which it agrees.  Lists of a
+    key with more than LISTS are dealt into slots, and two slots meet in a cell of their own.  Keys take
+    few bytes for the pairs they make, so their partitions are set by rows.
     """
-    rows = materialize(fingerprints.select("doc_id", "fingerprint"), "fingerprints")  # read four times
+    docs = fingerprints.groupBy("fingerprint").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("docs") - 1) / DOCS).cast("int")), lambda k: F.slice("docs", k * DOCS + 1, DOCS))
+    lists = materialize(docs.select("fingerprint", F.posexplode(pieces).alias("piece", "docs")), "fingerprints")  # read three times
     free, blocks = 64 - settings.bucket_bits, settings.hamming + 2
     ends = [free * i // blocks for i in range(blocks + 1)]
     masks = [((1 << ends[i + 1]) - (1 << ends[i])) | ((1 << ends[j + 1]) - (1 << ends[j])) for i, j in combinations(range(blocks), 2)]
     part = lambda f, mask: f.bitwiseAND(F.lit(mask))
-    parts = 1 + min(rows.count() // ROWS_A_PART, 4000)
-    distinct = rows.select("fingerprint").distinct().withColumn("bucket", bucket(F.col("fingerprint"), settings.bucket_bits))
-    keyed = distinct.select("fingerprint", "bucket", F.posexplode(F.array(*(part(F.col("fingerprint"), m) for m in masks))).alias("i", "block")).repartition(parts, "bucket", "i", "block")
-    a, b = keyed.withColumnRenamed("fingerprint", "fa"), keyed.withColumnRenamed("fingerprint", "fb")
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    parts = 1 + min(lists.count() // ROWS_A_PART, 4000)
+    key = ["bucket", "i", "block"]
+    keyed = lists.select("*", bucket(F.col("fingerprint"), settings.bucket_bits).alias("bucket"), F.posexplode(F.array(*(part(F.col("fingerprint"), m) for m in masks))).alias("i", "block"))
+    hot = materialize(keyed.groupBy(key).agg((1 + F.floor(F.count("*") / LISTS)).alias("slots")).filter("slots > 1"), "hot-keys")
+    keyed = keyed.join(F.broadcast(hot) if hot.count() <= HOT else hot, key, "left").fillna(1, ["slots"])
+    keyed = keyed.withColumn("slot", F.pmod(F.xxhash64("fingerprint", "piece"), F.col("slots")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1), lambda u: F.struct(F.least("slot", u).alias("x"), F.greatest("slot", u).alias("y")))
+    keyed = keyed.select(*key, "fingerprint", "piece", "docs", "slot", F.inline(cells)).repartition(parts, *key, "x", "y")
+    names = ["fingerprint", "piece", "docs", "slot"]
+    a, b = (keyed.withColumnsRenamed({name: f"{side}_{name}" for name in names}) for side in "ab")
+    differ = F.col("a_fingerprint").bitwiseXOR(F.col("b_fingerprint"))
     first = F.coalesce(*(F.when(part(differ, m) == 0, F.lit(i)) for i, m in enumerate(masks)))
-    pairs = a.join(b, ["bucket", "i", "block"]).withColumn("distance", hamming(F.col("fa"), F.col("fb")))
-    pairs = pairs.filter((F.col("distance") <= settings.hamming) & (first == F.col("i"))).select("fa", "fb", "distance")
-    left, right = rows.toDF("doc_id", "fa"), rows.toDF("prior_doc_id", "fb")
-    return pairs.join(left, "fa").join(right, "fb").filter("prior_doc_id < doc_id").select("doc_id", "prior_doc_id", F.col("distance").cast("int").alias("distance"))
-
-
-#: Documents whose keys are compared in one task.
-ROWS_A_PART = 2000
+    ordered = F.expr("a_fingerprint < b_fingerprint or (a_fingerprint = b_fingerprint and a_piece <= b_piece)")
+    pairs = a.join(b, [*key, "x", "y"]).filter(ordered & F.expr("x = y or a_slot <> b_slot"))
+    pairs = pairs.withColumn("distance", hamming(F.col("a_fingerprint"), F.col("b_fingerprint"))).filter((F.col("distance") <= settings.hamming) & (first == F.col("i")))
+    pairs = pairs.select("distance", "b_docs", F.expr("a_fingerprint = b_fingerprint and a_piece = b_piece").alias("same"), F.explode("a_docs").alias("a"))
+    pairs = pairs.select("distance", "same", "a", F.explode("b_docs").alias("b")).filter("not same or a < b")
+    return pairs.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("prior_doc_id"), F.col("distance").cast("int").alias("distance"))
+
+
+#: Lists of documents whose keys are compared in one task, documents of a list, lists of a key that are compared at once.
+ROWS_A_PART, DOCS, LISTS = 2000, 256, 1000
+#: Keys of more lists, up to which they are broadcast.
+HOT = 100_000
 
 
 def dense_ids(rows: DataFrame, order: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from webrank.functions import urls as U
 from webrank.functions.html import extract_fields, next_links, visible_text
 from webrank.operators import analytics, crawl, dedup, graph, index, search
 from webrank.sources import pages as P
-from webrank.sources.scratch import bounded_batches
+from webrank.sources.scratch import bounded_batches, materialize
 
 QUERIES = [(0, "the of and"), (1, "in the en la"), (2, "thand the thin"), (3, "der die und"), (4, "password token license"), (5, "the the of the")]
 
@@ -61,7 +61,8 @@ def body_bigrams(spark, d):
 def exact_duplicates(spark, d):
     """Documents have no URL of their own, so keep-first by hash is a minimum."""
     empty = F.lit("")
-    rows = documents(spark, d).select("doc_id", F.sha1(dedup.exact_text(empty, empty, empty, F.col("text"))).alias("hash"))
+    rows = documents(spark, d).select("doc_id", F.unhex(F.sha1(dedup.exact_text(empty, empty, empty, F.col("text")))).alias("hash"))
+    rows = materialize(rows, "text-hashes")  # both sides of the join would collapse all texts
     first = rows.groupBy("hash").agg(F.min("doc_id").alias("kept_doc_id"))
     return rows.join(first, "hash").filter("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id")
 
